@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +17,34 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; only where that is unset (tests on one machine), a temporary one, set from then on."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
-    Only where neither that setting nor a checkpoint folder is there (tests on one machine) is a temporary folder set.
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write a table in the shared folder and read it again.
+
+    Unlike DataFrame.checkpoint() this keeps no constraints of the old plan, which grow without bound in iterations, and
+    gives the optimizer true sizes.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what checkpointed() wrote; nothing may read it any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def volume(docs: DataFrame, text: str) -> tuple[int, int]:
@@ -41,7 +61,7 @@ def groups_for(n_bytes: int) -> int:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph given by its edges: (node, root), root the least node reachable.
 
-    Hash-to-min with pointer jumping on DataFrames, one reliable checkpoint a round, until nothing changes.  Nodes without
+    Hash-to-min with pointer jumping on DataFrames, two small tables written a round, until nothing changes.  Nodes without
     an edge (a self-loop counts as one) are not returned.  Null ends are ignored; repeated edges don't matter.
     """
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
@@ -57,6 +77,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         jumped = nearer.join(up, "next", "left").select("node", F.least("next", F.coalesce("upper", "next")).alias("root"), F.col("root").alias("before"))
         jumped = checkpointed(jumped)
         changed = jumped.where("root <> before").limit(1).count()
-        labels = jumped.select("node", "root")
+        forget(labels, nearer)
+        labels = jumped
         if not changed:
-            return labels
+            forget(both)
+            return labels.select("node", "root")

@@ -1,0 +1,165 @@
+r"""Secret scans: three base patterns and a randomness test battery, with DataFrame functions only.
+
+Base spans are what the patterns match, leftmost and without overlap per kind, that are long enough.  The method adds
+spans of kind `random`: tokens of 20 or more characters of [A-Za-z0-9+/_=-], with a letter and a digit, outside base
+spans, that look drawn at random from the alphabet of the encoding inferred for them (hex, base32, letters and digits, or
+base64):
+
+* chi-squared test of uniformity over that alphabet (Wilson-Hilferty),
+* runs test of letters against digits, and
+* lag-one serial correlation of the alphabet places
+
+must each fail to reject randomness at ACCEPT; and the number of runs must reject natural identifiers, which change
+between letters and digits at about one place in ten, under Benjamini-Hochberg control at FALSE_DISCOVERY within bands of
+length.  The bands' p-values are gathered as counts by bin (at most BANDS * BINS rows), never as rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]+"
+HEX = r"[0-9a-f]{32,}"
+TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+KINDS = ("assign", "access", "hex", "random")
+LEAST_VALUE, LEAST_ACCESS = 8, 16
+ACCEPT, FALSE_DISCOVERY = 0.001, 0.001
+CHANGE = 0.1  # share of places where a natural identifier changes between letters and digits
+BANDS = (20, 24, 32, 48, 64, 128)
+BINS = 64
+
+_SPAN = "array<struct<start:int,rank:int,end:int>>"
+
+
+def _spans(text: Column, pattern: str, rank: int, least: int = 0, group: int = 0) -> Column:
+    """Spans of the pattern's matches, in code points; a match stays if its `group` has `least` characters."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    between = F.split(text, pattern)
+
+    def place(m: Column, i: Column) -> Column:
+        start = F.aggregate(F.slice(between, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(whole, 1, i), F.lit(0), lambda a, x: a + F.length(x))
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(m)).alias("end"), F.length(F.get(value, i)).alias("n"))
+
+    found = F.filter(F.transform(whole, place), lambda s: s["n"] >= least)
+    found = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
+
+
+def _upper_tail(z: Column) -> Column:
+    """P(N(0,1) > z), by Abramowitz and Stegun 7.1.26."""
+    x = F.abs(z) / 2**0.5
+    t = 1 / (1 + F.lit(0.3275911) * x)
+    tail = 0.5 * t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
+    return F.when(z > 0, tail).otherwise(1 - tail)
+
+
+_ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "alnum": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "base64": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_"}
+
+
+def battery(token: Column) -> Column:
+    """Struct of n, encoding, and p-values of a token: uniform, runs, serial (of randomness) and natural (of natural identifiers)."""
+    n = F.length(token).cast("double")
+    low = F.when(token.rlike("^[0-9A-Fa-f]+$"), F.lower(token)).otherwise(token)
+    encoding = F.when(low.rlike("^[0-9a-f]+$"), "hex").when(token.rlike("^[A-Z2-7]+=*$"), "base32").when(token.rlike("^[A-Za-z0-9]+$"), "alnum").otherwise("base64")
+
+    def by(f) -> Column:
+        out = None
+        for name, alphabet in _ALPHABETS.items():
+            out = F.when(encoding == name, f(alphabet)) if out is None else out.when(encoding == name, f(alphabet))
+        return out
+
+    def squares(alphabet: str) -> Column:
+        count = lambda c: (F.length(low) - F.length(F.replace(low, c, F.lit("")))).cast("double")
+        return F.aggregate(F.array(*[F.lit(c) for c in alphabet]), F.lit(0.0), lambda a, c: a + count(c) * count(c))
+
+    size = by(lambda a: F.lit(float(len(a))))
+    degrees = size - 1
+    chi = size / n * by(squares) - n
+    z_uniform = (F.pow(F.greatest(chi, F.lit(0.0)) / degrees, F.lit(1 / 3)) - (1 - 2 / (9 * degrees))) / F.sqrt(2 / (9 * degrees))
+    digits = F.length(F.regexp_replace(token, "[^0-9]", "")).cast("double")
+    changes = F.size(F.regexp_extract_all(token, F.lit("[0-9]+|[^0-9]+"), F.lit(0))).cast("double") - 1
+    share = by(lambda a: F.lit(10.0 / len(a)) if a[0] == "0" else F.lit(6.0 / len(a)))
+    turn = 2 * share * (1 - share)
+    z_runs = (changes - (n - 1) * turn) / F.sqrt((n - 1) * turn * (1 - turn))
+    place = by(lambda a: F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: _locate(a, low, i)))
+    first, second = F.slice(place, 1, F.size(place) - 1), F.slice(place, 2, F.size(place) - 1)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    mean = total(place) / n
+    spread = F.aggregate(place, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
+    lag = F.aggregate(F.zip_with(first, second, lambda x, y: (x - mean) * (y - mean)), F.lit(0.0), lambda s, x: s + x)
+    z_serial = F.when(spread > 0, lag / spread * F.sqrt(n)).otherwise(F.lit(99.0))
+    z_natural = (changes - (n - 1) * CHANGE) / F.sqrt((n - 1) * CHANGE * (1 - CHANGE))
+    return F.struct(n.cast("int").alias("n"), encoding.alias("encoding"), _upper_tail(z_uniform).alias("uniform"), (2 * _upper_tail(F.abs(z_runs))).alias("runs"), (2 * _upper_tail(F.abs(z_serial))).alias("serial"), _upper_tail(z_natural).alias("natural"))
+
+
+def _locate(alphabet: str, text: Column, i: Column) -> Column:
+    return F.instr(F.lit(alphabet), F.substring(text, i, F.lit(1))).cast("double")
+
+
+def _band(n: Column) -> Column:
+    out = F.lit(0)
+    for k, least in enumerate(BANDS):
+        out = F.when(n >= least, k).otherwise(out)
+    return out
+
+
+def _bin(p: Column) -> Column:
+    """Half powers of two: 0 for p = 1, BINS - 1 for the least."""
+    return F.least(F.lit(BINS - 1), F.floor(-2 * F.log2(F.greatest(p, F.lit(1e-12)))).cast("int"))
+
+
+def thresholds(tokens: DataFrame) -> dict[int, int]:
+    """For each band the least bin whose tokens are discoveries, from (n, natural) of all candidates."""
+    counted = tokens.groupBy(_band(F.col("n")).alias("band"), _bin(F.col("natural")).alias("bin")).count().collect()  # at most len(BANDS) * BINS rows
+    out = {}
+    for band in range(len(BANDS)):
+        counts = {r["bin"]: r["count"] for r in counted if r["band"] == band}
+        total, so_far, found = sum(counts.values()), 0, BINS
+        for b in sorted(counts, reverse=True):
+            so_far += counts[b]
+            if 2 ** (-b / 2) <= FALSE_DISCOVERY * so_far / total:  # the largest p-value that bin can hold
+                found = b
+        out[band] = found
+    return out
+
+
+def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Spans of likely secrets in each text: doc_id, n_assign, n_access, n_hex, n_random, found.
+
+    `found` is an array of (start, rank, end), ascending: code points, end exclusive; rank is the place in KINDS.  A null
+    text is empty and has none.  Repeated rows each give a row; a null doc_id is kept.  An empty table gives none.  Other
+    columns are not read.  No shuffle but that of the bins.
+    """
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("t"))
+    hinted = F.col("t").rlike("(?i)password|passwd|secret|token|api_?key")
+    assign = F.when(hinted, _spans(F.col("t"), ASSIGN, 0, least=LEAST_VALUE, group=2)).otherwise(F.array().cast(_SPAN))
+    access = F.when(F.col("t").contains("AKIA"), _spans(F.col("t"), ACCESS, 1, least=LEAST_ACCESS)).otherwise(F.array().cast(_SPAN))
+    base = F.concat(assign, access, _spans(F.col("t"), HEX, 2, least=32))
+    tokens = _spans(F.col("t"), TOKEN, 3, least=20)
+    mixed = lambda s: F.substring(F.col("t"), s["start"] + 1, s["end"] - s["start"])
+    rows = rows.select("doc_id", "t", base.alias("base"), tokens.alias("tokens"))
+    free = F.filter("tokens", lambda s: mixed(s).rlike("[0-9]") & mixed(s).rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    rows = rows.select("doc_id", "base", F.when(F.size("tokens") > 0, F.transform(free, lambda s: F.struct(s.alias("span"), mixed(s).alias("token")))).alias("free"))
+    tested = rows.where(F.size("free") > 0).select(F.explode("free").alias("f")).select(battery(F.col("f.token")).alias("b")).select("b.n", "b.natural")
+    cut = thresholds(tested)
+
+    def random(s: Column) -> Column:
+        b = battery(s["token"])
+        least = F.element_at(F.array(*[F.lit(cut[k]) for k in range(len(BANDS))]), _band(b["n"]) + 1)
+        return (b["uniform"] > ACCEPT) & (b["runs"] > ACCEPT) & (b["serial"] > ACCEPT) & (_bin(b["natural"]) >= least)
+
+    added = F.when(F.size("free") > 0, F.transform(F.filter("free", random), lambda s: s["span"])).otherwise(F.array().cast(_SPAN))
+    found = rows.select("doc_id", F.array_sort(F.concat("base", added)).alias("found"))
+    count = lambda k: F.size(F.filter("found", lambda s: s["rank"] == k)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], "found")
+
+
+def as_text(found: Column, kinds: int = len(KINDS)) -> Column:
+    """kind:start:end of the first `kinds` kinds, comma-joined."""
+    names = F.array(*[F.lit(k) for k in KINDS])
+    part = lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.transform(F.filter(found, lambda s: s["rank"] < kinds), part), ",")
