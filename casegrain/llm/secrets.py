@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 ACCEPT, FALSE_DISCOVERY = 0.001, 0.001
@@ -33,27 +33,47 @@ BINS = 64
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
-def _spans(text: Column, pattern: str, rank: int, least: int = 0, group: int = 0) -> Column:
-    """Spans of the pattern's matches, in code points; a match stays if its `group` has `least` characters."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    between = F.split(text, pattern)
+def _once(frame: DataFrame, **columns: Column) -> DataFrame:
+    """frame with the columns, each worked out once a row: a generator stands between them and what uses them.
+
+    Plain projections are merged, and then every use of a column repeats its regular expressions.
+    """
+    kept = [F.col(c) for c in frame.columns if c not in columns]
+    made = F.struct(*kept, *[c.alias(n) for n, c in columns.items()])
+    return frame.select(F.explode(F.array(made)).alias("once")).select("once.*")
+
+
+def _matches(text: Column, pattern: str, possible: Column, group: int = 0) -> Column:
+    """The pattern's matches, their `group`s, and the pieces between them; null where there is none."""
+    get = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    return F.when(possible & text.rlike(pattern), F.struct(get(0).alias("whole"), get(group).alias("value"), F.split(text, pattern).alias("between")))
 
-    def place(m: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice(between, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(whole, 1, i), F.lit(0), lambda a, x: a + F.length(x))
-        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(m)).alias("end"), F.length(F.get(value, i)).alias("n"))
 
-    found = F.filter(F.transform(whole, place), lambda s: s["n"] >= least)
+def _spans(m: Column, rank: int, least: int) -> Column:
+    """Spans of the matches in code points; one stays if its group has `least` characters."""
+
+    def place(x: Column, i: Column) -> Column:
+        start = F.aggregate(F.slice(m["between"], 1, i + 1), F.lit(0), lambda a, y: a + F.length(y)) + F.aggregate(F.slice(m["whole"], 1, i), F.lit(0), lambda a, y: a + F.length(y))
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(x)).alias("end"), F.length(F.get(m["value"], i)).alias("n"))
+
+    found = F.filter(F.transform(m["whole"], place), lambda s: s["n"] >= least)
     found = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
+    return F.when(m.isNotNull(), found).otherwise(F.array().cast(_SPAN))
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def _upper_tail(z: Column) -> Column:
     """P(N(0,1) > z), by Abramowitz and Stegun 7.1.26."""
-    x = F.abs(z) / 2**0.5
-    t = 1 / (1 + F.lit(0.3275911) * x)
-    tail = 0.5 * t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
-    return F.when(z > 0, tail).otherwise(1 - tail)
+
+    def tail(x: Column) -> Column:
+        poly = lambda t: t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+        return _let(1 / (1 + F.lit(0.3275911) * x), lambda t: 0.5 * poly(t) * F.exp(-x * x))
+
+    return _let(z, lambda z: _let(tail(F.abs(z) / 2**0.5), lambda p: F.when(z > 0, p).otherwise(1 - p)))
 
 
 _ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "alnum": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "base64": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_"}
@@ -61,42 +81,33 @@ _ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ23
 
 def battery(token: Column) -> Column:
     """Struct of n, encoding, and p-values of a token: uniform, runs, serial (of randomness) and natural (of natural identifiers)."""
-    n = F.length(token).cast("double")
-    low = F.when(token.rlike("^[0-9A-Fa-f]+$"), F.lower(token)).otherwise(token)
-    encoding = F.when(low.rlike("^[0-9a-f]+$"), "hex").when(token.rlike("^[A-Z2-7]+=*$"), "base32").when(token.rlike("^[A-Za-z0-9]+$"), "alnum").otherwise("base64")
-
-    def by(f) -> Column:
-        out = None
-        for name, alphabet in _ALPHABETS.items():
-            out = F.when(encoding == name, f(alphabet)) if out is None else out.when(encoding == name, f(alphabet))
-        return out
+    encoding = F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(token.rlike("^[A-Z2-7]+=*$"), "base32").when(token.rlike("^[A-Za-z0-9]+$"), "alnum").otherwise("base64")
+    alphabet = F.create_map(*[F.lit(x) for pair in _ALPHABETS.items() for x in pair])
+    low = F.when(encoding == "hex", F.lower(token)).otherwise(token)
+    changes = F.size(F.regexp_extract_all(token, F.lit("[0-9]+|[^0-9]+"), F.lit(0))).cast("double") - 1
+    first = F.struct(F.length(token).cast("double").alias("n"), encoding.alias("encoding"), F.element_at(alphabet, encoding).alias("alphabet"), low.alias("low"), changes.alias("changes"))
+    return _let(first, _tests)
 
-    def squares(alphabet: str) -> Column:
-        count = lambda c: (F.length(low) - F.length(F.replace(low, c, F.lit("")))).cast("double")
-        return F.aggregate(F.array(*[F.lit(c) for c in alphabet]), F.lit(0.0), lambda a, c: a + count(c) * count(c))
 
-    size = by(lambda a: F.lit(float(len(a))))
+def _tests(s: Column) -> Column:
+    n, size, low = s["n"], F.length(s["alphabet"]).cast("double"), s["low"]
+    symbols = F.transform(F.sequence(F.lit(1), F.length(s["alphabet"])), lambda i: F.substring(s["alphabet"], i, F.lit(1)))
+    count = lambda c: (F.length(low) - F.length(F.replace(low, c, F.lit("")))).cast("double")
+    squares = F.aggregate(F.transform(symbols, count), F.lit(0.0), lambda a, c: a + c * c)
     degrees = size - 1
-    chi = size / n * by(squares) - n
-    z_uniform = (F.pow(F.greatest(chi, F.lit(0.0)) / degrees, F.lit(1 / 3)) - (1 - 2 / (9 * degrees))) / F.sqrt(2 / (9 * degrees))
-    digits = F.length(F.regexp_replace(token, "[^0-9]", "")).cast("double")
-    changes = F.size(F.regexp_extract_all(token, F.lit("[0-9]+|[^0-9]+"), F.lit(0))).cast("double") - 1
-    share = by(lambda a: F.lit(10.0 / len(a)) if a[0] == "0" else F.lit(6.0 / len(a)))
-    turn = 2 * share * (1 - share)
-    z_runs = (changes - (n - 1) * turn) / F.sqrt((n - 1) * turn * (1 - turn))
-    place = by(lambda a: F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: _locate(a, low, i)))
-    first, second = F.slice(place, 1, F.size(place) - 1), F.slice(place, 2, F.size(place) - 1)
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    mean = total(place) / n
-    spread = F.aggregate(place, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
-    lag = F.aggregate(F.zip_with(first, second, lambda x, y: (x - mean) * (y - mean)), F.lit(0.0), lambda s, x: s + x)
-    z_serial = F.when(spread > 0, lag / spread * F.sqrt(n)).otherwise(F.lit(99.0))
-    z_natural = (changes - (n - 1) * CHANGE) / F.sqrt((n - 1) * CHANGE * (1 - CHANGE))
-    return F.struct(n.cast("int").alias("n"), encoding.alias("encoding"), _upper_tail(z_uniform).alias("uniform"), (2 * _upper_tail(F.abs(z_runs))).alias("runs"), (2 * _upper_tail(F.abs(z_serial))).alias("serial"), _upper_tail(z_natural).alias("natural"))
+    z_uniform = (F.pow(F.greatest(size / n * squares - n, F.lit(0.0)) / degrees, F.lit(1 / 3)) - (1 - 2 / (9 * degrees))) / F.sqrt(2 / (9 * degrees))
+    digits = F.when(s["encoding"] == "base32", 6.0).otherwise(10.0) / size  # share of digits in the alphabet
+    z_changes = lambda turn: (s["changes"] - (n - 1) * turn) / F.sqrt((n - 1) * turn * (1 - turn))
+    place = F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.instr(s["alphabet"], F.substring(low, i, F.lit(1))).cast("double"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
 
+    def serial(centred: Column) -> Column:
+        spread = total(F.transform(centred, lambda x: x * x))
+        lagged = total(F.zip_with(F.slice(centred, 1, F.size(centred) - 1), F.slice(centred, 2, F.size(centred) - 1), lambda x, y: x * y))
+        return F.when(spread > 0, lagged / spread * F.sqrt(n)).otherwise(F.lit(99.0))
 
-def _locate(alphabet: str, text: Column, i: Column) -> Column:
-    return F.instr(F.lit(alphabet), F.substring(text, i, F.lit(1))).cast("double")
+    centred = _let(place, lambda p: _let(total(p) / n, lambda mean: F.transform(p, lambda x: x - mean)))
+    return F.struct(n.cast("int").alias("n"), s["encoding"].alias("encoding"), _upper_tail(z_uniform).alias("uniform"), (2 * _upper_tail(F.abs(z_changes(2 * digits * (1 - digits))))).alias("runs"), (2 * _upper_tail(F.abs(_let(centred, serial)))).alias("serial"), _upper_tail(z_changes(F.lit(CHANGE))).alias("natural"))
 
 
 def _band(n: Column) -> Column:
@@ -135,25 +146,25 @@ def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("t"))
-    hinted = F.col("t").rlike("(?i)password|passwd|secret|token|api_?key")
-    assign = F.when(hinted, _spans(F.col("t"), ASSIGN, 0, least=LEAST_VALUE, group=2)).otherwise(F.array().cast(_SPAN))
-    access = F.when(F.col("t").contains("AKIA"), _spans(F.col("t"), ACCESS, 1, least=LEAST_ACCESS)).otherwise(F.array().cast(_SPAN))
-    base = F.concat(assign, access, _spans(F.col("t"), HEX, 2, least=32))
-    tokens = _spans(F.col("t"), TOKEN, 3, least=20)
-    mixed = lambda s: F.substring(F.col("t"), s["start"] + 1, s["end"] - s["start"])
-    rows = rows.select("doc_id", "t", base.alias("base"), tokens.alias("tokens"))
-    free = F.filter("tokens", lambda s: mixed(s).rlike("[0-9]") & mixed(s).rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    rows = rows.select("doc_id", "base", F.when(F.size("tokens") > 0, F.transform(free, lambda s: F.struct(s.alias("span"), mixed(s).alias("token")))).alias("free"))
+    text, yes, small = F.col("t"), F.lit(True), F.lower("t")
+    hinted = small.contains("passw") | small.contains("secret") | small.contains("token") | small.contains("api")
+    rows = _once(rows, m0=_matches(text, ASSIGN, hinted, group=2), m1=_matches(text, ACCESS, text.contains("AKIA")), m2=_matches(text, HEX, yes), m3=_matches(text, TOKEN, text.rlike("[0-9]"))).drop("t")
+    rows = _once(rows, base=F.concat(_spans(F.col("m0"), 0, LEAST_VALUE), _spans(F.col("m1"), 1, LEAST_ACCESS), _spans(F.col("m2"), 2, 32)), tokens=_spans(F.col("m3"), 3, 20))
+    token = F.col("m3.whole")
+    pairs = F.zip_with("tokens", F.coalesce(token, F.array().cast("array<string>")), lambda s, x: F.struct(s.alias("span"), x.alias("token")))
+    free = F.filter(pairs, lambda p: p["token"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["start"] < p["span"]["end"]) & (p["span"]["start"] < b["end"])))
+    rows = _once(rows.select("doc_id", "base", "tokens", "m3"), free=F.when(F.size("tokens") > 0, free)).select("doc_id", "base", "free")
     tested = rows.where(F.size("free") > 0).select(F.explode("free").alias("f")).select(battery(F.col("f.token")).alias("b")).select("b.n", "b.natural")
     cut = thresholds(tested)
 
-    def random(s: Column) -> Column:
-        b = battery(s["token"])
+    def random(b: Column) -> Column:
         least = F.element_at(F.array(*[F.lit(cut[k]) for k in range(len(BANDS))]), _band(b["n"]) + 1)
         return (b["uniform"] > ACCEPT) & (b["runs"] > ACCEPT) & (b["serial"] > ACCEPT) & (_bin(b["natural"]) >= least)
 
-    added = F.when(F.size("free") > 0, F.transform(F.filter("free", random), lambda s: s["span"])).otherwise(F.array().cast(_SPAN))
-    found = rows.select("doc_id", F.array_sort(F.concat("base", added)).alias("found"))
+    tests = F.transform("free", lambda p: F.struct(p["span"].alias("span"), battery(p["token"]).alias("b")))
+    rows = _once(rows, tests=F.when(F.size("free") > 0, tests))
+    added = F.when(F.col("tests").isNotNull(), F.transform(F.filter("tests", lambda x: random(x["b"])), lambda x: x["span"])).otherwise(F.array().cast(_SPAN))
+    found = _once(rows.select("doc_id", "base", "tests"), found=F.array_sort(F.concat("base", added)))
     count = lambda k: F.size(F.filter("found", lambda s: s["rank"] == k)).cast("long")
     return found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], "found")
 
