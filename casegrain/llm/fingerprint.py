@@ -48,6 +48,8 @@ def sums(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(doc, kind="stable")
         h, doc = h[order], doc[order]
         ones = np.unpackbits(np.stack([mix64(h ^ s) for s in _SALTS], axis=1).view(np.uint8), axis=1) if len(h) else np.zeros((0, SIGNS), np.uint8)
+        if not len(doc):
+            continue
         keys, first = np.unique(doc, return_index=True)
         for d, a, b in zip(keys, first, np.append(first[1:], len(doc)), strict=True):
             signs[d] += (2 * ones[a:b].sum(axis=0, dtype=np.int64) - (b - a)).astype(np.int16)
