@@ -24,7 +24,8 @@ from casegrain.llm import frames
 
 #: Pages of one host in a group, on average; large hosts have several groups.
 GROUP_PAGES = 64
-#: A page is aligned with its group's reference on at most this many children of a node at once (nearest places first).
+#: The table of hosts with more pages than a group is broadcast up to so many rows (some 100 bytes each).
+BROADCAST_HOSTS = 200_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template svg iframe".split())
 BOILERPLATE = frozenset("script style noscript template svg iframe nav header footer aside form button select textarea input menu dialog head title".split())
@@ -283,6 +284,9 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     rows = rows.withColumn("okey", F.xxhash64("page_id", "url"))
     salts = rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP_PAGES)).alias("salts")).where("salts > 1").withColumnRenamed("host", "h")
     n = frames.groups_for(frames.volume(rows, "html")[1])
+    salts = frames.checkpointed(salts)
+    if salts.count() <= BROADCAST_HOSTS:  # else the pages move once more, to join
+        salts = F.broadcast(salts)
     salted = rows.join(salts, rows["host"] == salts["h"], "left").withColumn("salt", F.coalesce(F.pmod("okey", "salts"), F.lit(0)))
     placed = salted.select("page_id", "url", "html", "host", "okey", "salt", F.pmod(F.xxhash64("host", "salt"), F.lit(n)).cast("int").alias("bucket"))
     return placed.groupBy("bucket").applyInArrow(_extract, "page_id long, url string, text string")
