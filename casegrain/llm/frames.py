@@ -61,24 +61,29 @@ def groups_for(n_bytes: int) -> int:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph given by its edges: (node, root), root the least node reachable.
 
-    Hash-to-min with pointer jumping on DataFrames, two small tables written a round, until nothing changes.  Nodes without
-    an edge (a self-loop counts as one) are not returned.  Null ends are ignored; repeated edges don't matter.
+    Contraction: each round every node goes up to the neighbour (or itself) that is first in an order drawn anew, and on to
+    where that one goes; the edges between what is left, a constant share of the nodes at most, are the next round's.  So all
+    rounds together cost a few passes over the edges.  Nodes without an edge (a self-loop counts as one) are not returned.
+    Null ends are ignored; repeated edges don't matter.
     """
-    edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = checkpointed(both)
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
-    labels = checkpointed(labels)
+    ways = F.array(F.struct(F.col(a).alias("a"), F.col(b).alias("b")), F.struct(F.col(b).alias("a"), F.col(a).alias("b")))
+    both = checkpointed(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.explode(ways).alias("e")).select("e.a", "e.b").distinct())
+    labels, turn = None, 0
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        nearer = labels.join(seen.withColumnRenamed("a", "node"), "node", "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("next"))
-        nearer = checkpointed(nearer)
-        up = nearer.select(F.col("node").alias("next"), F.col("next").alias("upper"))
-        jumped = nearer.join(up, "next", "left").select("node", F.least("next", F.coalesce("upper", "next")).alias("root"), F.col("root").alias("before"))
-        jumped = checkpointed(jumped)
-        changed = jumped.where("root <> before").limit(1).count()
-        forget(labels, nearer)
-        labels = jumped
-        if not changed:
+        drawn = lambda c, turn=turn: F.struct(F.xxhash64(c, F.lit(turn)).alias("o"), F.col(c).alias("v"))
+        up = checkpointed(both.groupBy("a").agg(F.min(drawn("b")).alias("m")).select(F.col("a").alias("v"), F.least(drawn("a"), "m")["v"].alias("up")))
+        step = checkpointed(up.join(up.select(F.col("v").alias("up"), F.col("up").alias("top")), "up").select("v", "top"))
+        forget(up)
+        if labels is None:
+            labels = step.select(F.col("v").alias("node"), F.col("top").alias("root"))
+        else:
+            labels = checkpointed(labels.join(step, labels["root"] == step["v"], "left").select("node", F.coalesce("top", "root").alias("root")))
+        left = both.join(step.select(F.col("v").alias("a"), F.col("top").alias("x")), "a").join(step.select(F.col("v").alias("b"), F.col("top").alias("y")), "b")
+        left = checkpointed(left.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        forget(both)
+        both, turn = left, turn + 1
+        if not both.limit(1).count():
             forget(both)
-            return labels.select("node", "root")
+            break
+    least = labels.groupBy("root").agg(F.min("node").alias("least"))
+    return checkpointed(labels.join(least, "root").select("node", F.col("least").alias("root")))
