@@ -84,9 +84,10 @@ def linked(rows, percent=75):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_ngram_join(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, shingles", [(512, 400_000), (3, 400_000), (3, 150)])
+def test_ngram_join(spark, monkeypatch, block, shingles):
     monkeypatch.setattr(ngram_join, "BLOCK_NODES", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", shingles)
     r = random.Random(5)
     base = [[f"w{r.randrange(500)}" for _ in range(60)] for _ in range(6)]
     texts = []
@@ -95,11 +96,25 @@ def test_ngram_join(spark, monkeypatch, block):
         for _ in range(r.randrange(4)):
             w[r.randrange(60)] = f"n{i}"
         texts.append((i, " ".join(w)))
+    common = [f"c{k}" for k in range(12)]  # texts that share a passage only
+    for i in range(200, 240):
+        w = [f"u{i}_{k}" for k in range(r.randrange(30, 50))]
+        texts.append((i, " ".join(w[:10] + common + w[10:])))
+        if i % 4 == 0:
+            w[20] = "changed"
+            texts.append((i + 100, " ".join(w[:10] + common + w[10:])))
     texts += [(100, None), (101, ""), (102, "One two"), (103, "one TWO")]
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_join(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == linked(texts)
 
 
+def test_shares_keep_size_and_overlap():
+    blob = np.sort(np.array([5, 7, 7, 7, 9], "<u4")).tobytes()
+    other = np.sort(np.array([7, 7, 9, 11], "<u4")).tobytes()
+    a, b = ngram_join._share(blob), ngram_join._share(other)
+    assert len(np.unique(a)) == 5 and len(np.unique(b)) == 4 and len(np.intersect1d(a, b)) == 3
+
+
 def test_first_of_group(odd):
     kept = [r.doc_id for r in ngram_join.first_of_group(odd).collect()]
     assert sorted(kept, key=str) == sorted([1, 2, 3, 3, None, 4, 5, 6], key=str)
@@ -286,3 +301,24 @@ def test_pipeline(spark):
         assert 0.7 * docs.count() <= out.count() <= docs.count(), name
         docs = spark.createDataFrame(out.collect(), docs.schema)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DIR).count() == docs.count()
+
+
+def test_components(spark):
+    from casegrain.llm import frames
+
+    r = random.Random(7)
+    edges = [(i, i + 1) for i in range(200)] + [(r.randrange(300, 500), r.randrange(300, 500)) for _ in range(90)] + [(900, 900), (None, 3), (1, None)]
+    root = {x: x for e in edges for x in e if None not in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    got = {x.node: x.root for x in frames.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+    assert frames.components(spark.createDataFrame([], "a long, b long")).count() == 0
