@@ -23,8 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def quality_weight(text: Column) -> Column:
     """0.1 to 1: the share of letters and digits among what isn't ASCII white space or punctuation-only decoration."""
-    solid = F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]", ""))
-    marks = F.length(F.regexp_replace(text, r"[^!-/:-@\[-`{-~]", ""))
+    solid = F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""))
+    marks = F.length(F.regexp_replace(text, r"[^!-/:-@\[-`{-~]+", ""))
     return F.lit(0.1) + F.lit(0.9) * F.when(solid > 0, (solid - marks).cast("double") / solid).otherwise(0.0)
 
 
