@@ -10,22 +10,43 @@ are added up first, and windows run inside buckets only.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casegrain.llm import frames
+from casegrain.llm.textkit import SPACE, word_chunks
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 BUCKET_ROWS = 20_000
-WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes that begin a code point other than white space, and those of ASCII punctuation.
+_FIRST = ~SPACE & ((np.arange(256) & 0xC0) != 0x80)
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+
+
+def measures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text, and its quality weight, 0.1 to 1: the share of code points other than ASCII punctuation among
+    those that aren't ASCII white space (0.1 where there are none)."""
+    size, weight = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for _, _, words in word_chunks(texts):
+        per_text = lambda mask, w=words: np.diff(np.searchsorted(np.flatnonzero(mask), w.offsets))
+        solid, marks = per_text(_FIRST[words.data]), per_text(_MARK[words.data])
+        size.append(words.counts.astype(np.int64))
+        weight.append(0.1 + 0.9 * np.divide((solid - marks).astype(float), solid, out=np.zeros(len(solid)), where=solid > 0))
+    return np.concatenate(size), np.concatenate(weight)
 
 
-def quality_weight(text: Column) -> Column:
-    """0.1 to 1: the share of letters and digits among what isn't ASCII white space or punctuation-only decoration."""
-    solid = F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""))
-    marks = F.length(F.regexp_replace(text, r"[^!-/:-@\[-`{-~]+", ""))
-    return F.lit(0.1) + F.lit(0.9) * F.when(solid > 0, (solid - marks).cast("double") / solid).otherwise(0.0)
+def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, source, u of each row, and its text's measures."""
+    for batch in batches:
+        size, weight = measures(batch.column("text"))
+        kept = [batch.column(c) for c in ("doc_id", "source", "u")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(size), pa.array(weight)], names=["doc_id", "source", "u", "size", "weight"])
 
 
 def uniform(doc_id: Column, text: Column) -> Column:
@@ -61,7 +82,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     the text).  Repeated rows have equal keys and stand side by side.  An empty table gives none; other columns are not read.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.regexp_count(t, F.lit(WORD)).cast("long").alias("size"), (-F.log(uniform(F.col(doc_id), t)) / quality_weight(t)).alias("key"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), uniform(F.col(doc_id), t).alias("u"), t.alias("text"))
+    sized = rows.mapInArrow(measured, "doc_id long, source string, u double, size long, weight double")
+    sized = sized.select("doc_id", "source", "size", (-F.log("u") / F.col("weight")).alias("key"))
     sized = frames.checkpointed(sized)
     goal = targets(sized).select(F.col("source").alias("s"), "source_size", "source_rows", "target")
     parts = F.ceil(F.col("source_rows") / F.lit(BUCKET_ROWS))

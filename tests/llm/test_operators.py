@@ -239,6 +239,16 @@ def test_html(spark):
     assert html_extraction.tree_match(a, b) == 4
 
 
+def test_mixing_measures(docs):
+    texts = [r.text for r in docs.collect()] + [row[1] for row in ODD] + ["?!", "\x0b\x1c\u00a0\u2003 a", "🙂", "é!"]
+    size, weight = mixing.measures(pa.array(texts, pa.string()))
+    for text, n, w in zip(texts, size, weight, strict=True):
+        solid = re.sub(r"[\x20\x09-\x0D]", "", text or "")
+        marks = re.findall(r"[!-/:-@\[-`{-~]", solid)
+        assert n == len(re.findall(r"[^\x20\x09-\x0D]+", text or "")) and w == 0.1 + 0.9 * ((len(solid) - len(marks)) / len(solid) if solid else 0.0)
+    assert [len(x) for x in mixing.measures(pa.array([], pa.string()))] == [0, 0]
+
+
 def test_mixing(docs, odd, spark):
     rows = mixing.mix(docs).collect()
     assert all(0 <= r.taken <= 3 * r.size for r in rows)
