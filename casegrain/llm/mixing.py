@@ -22,7 +22,7 @@ from casegrain.llm.textkit import SPACE, word_chunks
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: Bytes that begin a code point other than white space, and those of ASCII punctuation.
 _FIRST = ~SPACE & ((np.arange(256) & 0xC0) != 0x80)
 _MARK = np.zeros(256, dtype=bool)
