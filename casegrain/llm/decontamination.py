@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casegrain.llm import frames
 from casegrain.llm.textkit import Words, buffers, chunks, expand
 
 K1, B = 1.2, 0.75
@@ -207,7 +208,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", out: str =
                         lists[row + doc].append({"item_id": item, "score": score, "question": q, "answer": a})
                 yield batch.set_column(place, pa.field(out, _TYPE), pa.array(lists, _TYPE))
 
-        return frame.mapInArrow(run, schema_of)
+        return frames.map_batches(frame, run, schema_of)
 
     for row in items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).toLocalIterator():
         block.append((row["i"], row["t"]))

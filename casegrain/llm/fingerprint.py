@@ -131,5 +131,5 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     last = start.join(F.broadcast(to), start["doc_id"].eqNullSafe(to["head"])).select("doc_id", "text", "part", F.lit(1).alias("last"))  # a row for each range
     both = rows.withColumn("last", F.lit(0)).unionByName(last)
     placed = both.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("last", F.asc_nulls_first("doc_id"), "text")
-    out = placed.select("doc_id", "text").mapInArrow(_pairs(keep_text), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_text string")
+    out = frames.map_batches(placed.select("doc_id", "text"), _pairs(keep_text), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_text string")
     return out

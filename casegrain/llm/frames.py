@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,35 @@ from pyspark.sql import functions as F
 GROUP_BYTES = 4 << 20
 
 
+#: Arrow batches that go to Python hold about this many bytes (a longer row goes alone), unless the session says otherwise.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def map_batches(df: DataFrame, run: Callable[[Batches], Batches], schema) -> DataFrame:
+    """df.mapInArrow in batches of bounded size; each task gives the memory it has freed back to the system."""
+    if df.sparkSession.conf.get(_BATCH_KEY, None) is None:
+        df.sparkSession.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+    def tidy(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Workers live on after a task, and their allocators keep what was freed: return it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

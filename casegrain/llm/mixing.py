@@ -83,7 +83,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), uniform(F.col(doc_id), t).alias("u"), t.alias("text"))
-    sized = rows.mapInArrow(measured, "doc_id long, source string, u double, size long, weight double")
+    sized = frames.map_batches(rows, measured, "doc_id long, source string, u double, size long, weight double")
     sized = sized.select("doc_id", "source", "size", (-F.log("u") / F.col("weight")).alias("key"))
     sized = frames.checkpointed(sized)
     goal = targets(sized).select(F.col("source").alias("s"), "source_size", "source_rows", "target")

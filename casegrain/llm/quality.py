@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casegrain.llm import frames
 from casegrain.llm.labelled import held_out, sample
 from casegrain.llm.textkit import chunks
 
@@ -93,7 +94,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Learn from at most `rows` labelled rows of each class, never from held-out ones; only their counts come to the driver."""
-    found = sample(docs, labels, "quality", rows).mapInArrow(_counted, "__id long, y int, x binary").orderBy("__id", "x").collect()
+    found = frames.map_batches(sample(docs, labels, "quality", rows), _counted, "__id long, y int, x binary").orderBy("__id", "x").collect()
     x = np.array([np.frombuffer(r["x"], np.float16) for r in found], np.float32).reshape(-1, TERMS)
     return learn(np.array([r["y"] for r in found], np.int64), x)
 
@@ -111,7 +112,7 @@ def score_quality(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: s
             parts = [shared.value.scores(x) for x in counts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=["doc_id", "score"])
 
-    out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    out = frames.map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), run, "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

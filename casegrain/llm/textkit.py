@@ -7,7 +7,6 @@ word.  A word is a maximal run of bytes other than space and 0x09-0x0D.  A null
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +37,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BYTE_CODE = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
-@lru_cache(maxsize=8)
+#: The longest powers so far of each base; those of a longer text than this are not kept.
+_KEPT: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_KEPT_LENGTH = 1 << 21
+
+
 def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least 2**bits powers of base and of its inverse mod 2**64."""
     n, inverse = 1 << bits, pow(base, -1, 1 << 64)
+    if base in _KEPT and len(_KEPT[base][0]) >= n:
+        return _KEPT[base]
 
     def run(b: int) -> np.ndarray:
         out = np.full(n, U64(b))
         out[0] = 1
         return np.cumprod(out, dtype=U64)
 
-    return run(base), run(inverse)
+    found = run(base), run(inverse)
+    if n <= _KEPT_LENGTH:
+        _KEPT[base] = found
+    return found
 
 
 def _range_hash(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casegrain.llm import frames
 from casegrain.llm.labelled import held_out, sample
 
 #: At most so many labelled rows of each class are learnt from.
@@ -29,7 +30,8 @@ _OPEN = re.compile(r"^[\"'“„«‘‹]")
 _CLOSE = re.compile(r"[\"'”“»’›][.,;:!?]*$")
 #: Words of reporting speech: a term soon after one is reported, not used.
 REPORTING = frozenset("said says quote quoted quotes wrote called term word saying sagte schrieb nannte wort zitat dit écrit mot terme appelé dijo escribió palabra término llamó".split())
-_CACHE = 1 << 19
+#: So many tokens, and moves of the automaton, are kept at most; then they are met anew.
+_CACHE, _MOVES = 1 << 16, 1 << 18
 
 
 class Trie:
@@ -108,7 +110,7 @@ class Trie:
         for letter in token:
             after = moves.get((states, letter))
             if after is None:
-                if len(moves) >= _CACHE:
+                if len(moves) >= _MOVES:
                     return self._slow(states, token)
                 after = moves[states, letter] = self._move(states, letter)
             states = after
@@ -241,7 +243,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", score: str
     frame = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("__text", docs[text].cast("string"))
     out = frame.drop("__text").withColumn(score, F.lit(0.0))
     schema = _arrow(out)
-    return frame.mapInArrow(_scorer(docs.sparkSession, model, schema), out.schema).withColumn("predicted", (F.col(score) >= threshold).cast("int"))
+    return frames.map_batches(frame, _scorer(docs.sparkSession, model, schema), out.schema).withColumn("predicted", (F.col(score) >= threshold).cast("int"))
 
 
 def _arrow(frame: DataFrame) -> pa.Schema:
