@@ -109,8 +109,8 @@ def test_ngram_join(spark, monkeypatch, block, shingles):
 
 
 def test_shares_keep_size_and_overlap():
-    blob = np.sort(np.array([5, 7, 7, 7, 9], "<u4")).tobytes()
-    other = np.sort(np.array([7, 7, 9, 11], "<u4")).tobytes()
+    blob = np.sort(np.array([5, 7, 7, 7, 9], "<u4"))
+    other = np.sort(np.array([7, 7, 9, 11], "<u4"))
     a, b = ngram_join._share(blob), ngram_join._share(other)
     assert len(np.unique(a)) == 5 and len(np.unique(b)) == 4 and len(np.intersect1d(a, b)) == 3
 
