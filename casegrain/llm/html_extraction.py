@@ -1,19 +1,22 @@
 """HTML extraction by wrapper induction over pages of one host.
 
 Pages of a host are aligned, in groups of bounded size, with a reference page by simple tree matching: the greatest
-mapping between two ordered trees that keeps parents and order, by dynamic programming over children.  A node whose text is
-the same in most aligned pages is constant: template.  A node whose text differs is a slot.  The wrapper of the group is
-the path of the container whose slots hold most varying text, other than menus, headers, footers and the like, and the
-main text of each page is what stands below that path.  Pages that have no such path (or hosts with one page) fall back on
-their own landmarks: article, main, else body.
+mapping between two ordered trees that keeps parents and order, by dynamic programming over children.  A node whose text
+differs is a slot.  The wrapper of the group is the container whose slots hold most varying text, other than menus, headers,
+footers and the like; each page's container is the node that is aligned with it.  The main text is what stands below it,
+but for blocks that are the same on enough distinct pages of the group, wherever they stand: template.  Landmarks break
+ties (articles that hold all of the container, an article around it) and serve pages without the container and hosts with
+one page: all articles, else main, else body.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,8 @@ from casegrain.llm import frames
 
 #: Pages of one host in a group, on average; large hosts have several groups.
 GROUP_PAGES = 64
+#: A block is template when so many distinct pages of a group have it, and such a share of them.
+TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.5
 #: The table of hosts with more pages than a group is broadcast up to so many rows (some 100 bytes each).
 BROADCAST_HOSTS = 200_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -188,52 +193,48 @@ def _own_text(node: Node) -> str:
     return " ".join(c.strip() for c in node.children if isinstance(c, str)).strip()
 
 
-def _at(root: Node, path: tuple[str, ...]) -> Node | None:
-    node = root
-    for step in path:
-        tag, _, place = step.rstrip("]").partition("[")
-        same = [c for c in node.elements() if c.tag == tag]
-        if int(place) >= len(same):
-            return None
-        node = same[int(place)]
-    return None if node.boilerplate else node
-
-
-def landmark(root: Node) -> Node:
-    """The article or main element with most text, else body, else the whole page."""
-    found: dict[str, list[Node]] = defaultdict(list)
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        if node.tag in ("article", "main", "body"):
-            found[node.tag].append(node)
-        stack += [c for c in node.elements() if not c.boilerplate]
+def landmarks(root: Node) -> list[Node]:
+    """The outermost article elements that have text, in page order; else the main elements, else body, else the whole page."""
     for tag in ("article", "main", "body"):
-        if best := max(found[tag], key=Node.size, default=None):
-            if best.size():
-                return best
-    return root
+        found: list[Node] = []
+        stack = [root]
+        while stack:
+            node = stack.pop()
+            if node.tag == tag and node.size():
+                found.append(node)
+            else:
+                stack += [c for c in reversed(node.elements()) if not c.boilerplate]
+        if found:
+            return found
+    return [root]
 
 
-def induce(trees: list[Node]) -> tuple[str, ...] | None:
-    """The path of the content container that the pages of a group share; None if they have none in common.
+def induce(trees: list[Node]) -> list[list[Node] | None] | None:
+    """The content of each page of a group (None where a page lacks the container); None if the pages have none in common.
 
     Every page is aligned with the first.  Varying text below each path of the reference is summed over all pages; the
-    container is the deepest landmark or block that holds at least nine tenths of it.
+    container is the deepest landmark or block that holds at least nine tenths of it.  One inside a main gives way to that,
+    one inside an article to all articles below what holds the reference's, so that headings and the parts of a split
+    article stay.  Each page's container is the node aligned with the reference's.
     """
     if len(trees) < 2:
         return None
     reference = trees[0]
     paths = _paths(reference)
+    own = {key: None for key in paths}
     varying: dict[tuple[str, ...], int] = defaultdict(int)
+    aligned: list[list[tuple[Node, Node]]] = []
     for tree in trees[1:]:
         pairs: list[tuple[Node, Node]] = []
         tree_match(reference, tree, pairs)
+        aligned.append(pairs)
         for a, b in pairs:
             path = paths.get(id(a))
             if path is None or b.boilerplate:
                 continue
-            mine, other = _own_text(a), _own_text(b)
+            mine, other = own[id(a)], _own_text(b)
+            if mine is None:
+                mine = own[id(a)] = _own_text(a)
             if mine != other:
                 varying[path] += len(other)
     total = sum(varying.values())
@@ -244,16 +245,54 @@ def induce(trees: list[Node]) -> tuple[str, ...] | None:
         for k in range(len(path) + 1):
             below[path[:k]] += size
     good = [p for p, size in below.items() if size >= 0.9 * total and (not p or p[-1].partition("[")[0] in BLOCK - {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td"})]
-    return max(good, key=len, default=None)
+    best = max(good, key=len, default=None)
+    if best is None:
+        return None
+    outermost = lambda path, tag: next((k for k, step in enumerate(path) if step.partition("[")[0] == tag), None)
+    split = outermost(best, "article")
+    if split is not None:  # the parts of a split article may stand anywhere below what holds them all
+        heads = {p[: outermost(p, "article")] for p in varying if outermost(p, "article") is not None}
+        best = tuple(steps[0] for steps in takewhile(lambda steps: len(set(steps)) == 1, zip(*heads, strict=False)))
+    elif (k := outermost(best, "main")) is not None:
+        best = best[: k + 1]
+    key = next(key for key, path in paths.items() if path == best)
+    found = [next((b for a, b in pairs if id(a) == key), None) for pairs in aligned]
+    at = [next((n for n in _walk(reference) if id(n) == key), None), *found]
+    kept = [n if n is not None and not n.boilerplate and n.size() else None for n in at]
+    return [None if n is None else contents(n, split is not None) for n in kept]
+
+
+def _walk(root: Node) -> Iterator[Node]:
+    yield root
+    for c in root.elements():
+        yield from _walk(c)
 
 
-def main_text(root: Node, wrapper: tuple[str, ...] | None) -> str:
-    """The text of the wrapper's container; of the page's landmark when that lies deeper, or the page lacks the container."""
-    own = landmark(root)
-    if own.tag in ("article", "main") or wrapper is None:
-        return "\n".join(blocks(own))
-    container = _at(root, wrapper)
-    return "\n".join(blocks(container if container is not None and container.size() else own))
+def contents(container: Node, split: bool) -> list[Node]:
+    """The articles inside a container, all of them, when the slots are theirs or they hold nine tenths of its text; else itself."""
+    found = [n for n in landmarks(container) if n.tag == "article"]
+    return found if found and (split or sum(n.size() for n in found) >= 0.9 * container.size()) else [container]
+
+
+def template(pages: list[list[str]]) -> set[str]:
+    """Blocks that are the same on enough pages of a group: three at least, and TEMPLATE_SHARE of those that differ.
+
+    Pages with equal blocks count once, so copies of one article don't make its paragraphs template.
+    """
+    distinct = {tuple(p) for p in pages if p}
+    least = max(TEMPLATE_PAGES, TEMPLATE_SHARE * len(distinct))
+    return {block for block, n in Counter(b for p in distinct for b in set(p)).items() if n >= least}
+
+
+def main_texts(trees: list[Node]) -> list[str]:
+    """The main text of each page of a group: the slots of its container.
+
+    A page whose blocks would all go keeps them, and so does one without the container, which has its landmarks.
+    """
+    containers = induce(trees) or [None] * len(trees)
+    pages = [[b for n in (landmarks(tree) if c is None else c) for b in blocks(n)] for tree, c in zip(trees, containers, strict=True)]
+    constant = template(pages)
+    return ["\n".join([b for b in page if b not in constant] or page) for page in pages]
 
 
 def _extract(group: pa.Table) -> pa.Table:
@@ -265,10 +304,10 @@ def _extract(group: pa.Table) -> pa.Table:
     for i, key in enumerate(zip(hosts, group.column("salt").to_pylist(), strict=True)):
         by_host[key].append(i)
     for rows in by_host.values():
-        trees = [parse(htmls[i] or "") for i in rows]
-        wrapper = induce([t for t, i in zip(trees, rows, strict=True) if htmls[i]])
-        for i, tree in zip(rows, trees, strict=True):
-            texts[i] = main_text(tree, wrapper)
+        rows = [i for i in rows if htmls[i]]
+        trees = [parse(htmls[i]) for i in rows]
+        for i, text in zip(rows, main_texts(trees), strict=True):
+            texts[i] = text
     return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(texts, pa.string())})
 
 

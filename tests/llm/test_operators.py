@@ -239,6 +239,23 @@ def test_html(spark):
     assert html_extraction.tree_match(a, b) == 4
 
 
+def test_html_wrapper_decides(spark):
+    """Template text inside the content goes wherever it stands; every part of a split article stays; copies keep theirs."""
+    note = "<p>Help us write: give to the site.</p>"
+    split = "<body><div>Site</div><article><h1>T{0}</h1>{1}" + note + "{2}</article><div><p>Also read</p></div><article><p>End {0}</p></article></body>"
+    bare = "<div>Site name</div><div><p>Tale {0} one</p>" + note + "<p>Tale {0} two</p></div><div>Imprint</div>"
+    copy = "<article><h1>Same</h1><p>Same text on each</p></article>"
+    rows = [(i, "http://s.example/%d" % i, split.format(i, f"<p>Text {i} a</p>" * (1 + i % 3), f"<p>Text {i} b</p>")) for i in range(8)]
+    rows += [(10 + i, "http://b.example/%d" % i, bare.format(i)) for i in range(5)]
+    rows += [(20 + i, "http://c.example/%d" % i, copy if i < 6 else f"<article><h1>Own {i}</h1><p>Words {i}</p></article>") for i in range(8)]
+    rows += [(30, "http://one.example/", split.format(1, "", ""))]
+    got = {r.page_id: r.text for r in html_extraction.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: "\n".join([f"T{i}", *[f"Text {i} a"] * (1 + i % 3), f"Text {i} b", f"End {i}"]) for i in range(8)}
+    want |= {10 + i: f"Tale {i} one\nTale {i} two" for i in range(5)}
+    want |= {20 + i: "Same\nSame text on each" if i < 6 else f"Own {i}\nWords {i}" for i in range(8)}
+    assert got == want | {30: "T1\nHelp us write: give to the site.\nEnd 1"}
+
+
 def test_mixing_measures(docs):
     texts = [r.text for r in docs.collect()] + [row[1] for row in ODD] + ["?!", "\x0b\x1c\u00a0\u2003 a", "🙂", "é!"]
     size, weight = mixing.measures(pa.array(texts, pa.string()))
