@@ -35,3 +35,10 @@ def test_against_sql(spark, duck, name):
 def test_unchecked_queries_run(spark):
     for name in set(catalog.QUERIES) - set(catalog.SQL):
         assert catalog.QUERIES[name](spark, DIR).count() > 0
+
+
+def test_human_size_of_every_order(spark, tmp_path):
+    """Keys past 30,000 are answered too, and their sizes reach GB."""
+    spark.createDataFrame([(k,) for k in (5, 100, 29999, 30000, 32767, 32768, 150000)], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.o_orderkey: r["size"] for r in catalog.QUERIES["s18_human_size"](spark, str(tmp_path)).collect()}
+    assert got == {5: "25 B", 100: "9.8 KB", 29999: "858.2 MB", 30000: "858.3 MB", 32767: "1023.9 MB", 32768: "1.0 GB", 150000: "21.0 GB"}
