@@ -1,17 +1,19 @@
 r"""Secret scans: three base patterns and a randomness test battery, with DataFrame functions only.
 
 Base spans are what the patterns match, leftmost and without overlap per kind, that are long enough.  The method adds
-spans of kind `random`: tokens of 20 or more characters of [A-Za-z0-9+/_=-], with a letter and a digit, outside base
-spans, that look drawn at random from the alphabet of the encoding inferred for them (hex, base32, letters and digits, or
-base64):
+spans of kind `random`: tokens of 20 or more characters of [A-Za-z0-9+/_=-] outside base spans that look drawn at random
+from the alphabet of the encoding inferred for them, the smallest of _ENCODINGS that holds them (padding aside; a token
+that mixes the signs of standard and URL-safe base64 has none):
 
 * chi-squared test of uniformity over that alphabet (Wilson-Hilferty),
-* runs test of letters against digits, and
+* runs test of letters against digits (of the halves of the alphabet, where it has only letters or only digits), and
 * lag-one serial correlation of the alphabet places
 
-must each fail to reject randomness at ACCEPT; and the number of runs must reject natural identifiers, which change
-between letters and digits at about one place in ten, under Benjamini-Hochberg control at FALSE_DISCOVERY within bands of
-length.  The bands' p-values are gathered as counts by bin (at most BANDS * BINS rows), never as rows.
+give one p-value of randomness, three times the least of them, that must not reject at ACCEPT.  The statistic under
+Benjamini-Hochberg control at FALSE_DISCOVERY, within bands of length, is 1 for a token that these tests reject, else the
+p-value of natural identifiers: those change between letters and digits at about one place in ten, and about one in twelve
+of their letters is one of RARE.  Both z-values are summed where both have meaning.  The bands' p-values are gathered
+as counts by bin (at most BANDS * BINS rows), never as rows.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 ACCEPT, FALSE_DISCOVERY = 0.001, 0.001
 CHANGE = 0.1  # share of places where a natural identifier changes between letters and digits
+RARE, RARE_SHARE = "jkqvwxyz", 0.08  # letters that are rare in natural text, and their share of its letters at most
 BANDS = (20, 24, 32, 48, 64, 128)
 BINS = 64
 
@@ -76,27 +79,69 @@ def _upper_tail(z: Column) -> Column:
     return _let(z, lambda z: _let(tail(F.abs(z) / 2**0.5), lambda p: F.when(z > 0, p).otherwise(1 - p)))
 
 
-_ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "alnum": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "base64": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_"}
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Encodings in the order in which they are tried, smallest alphabets first, by the pattern of the token without padding.
+_ENCODINGS = {
+    "digits": ("^[0-9]+$", _DIGITS),
+    "hex": ("^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
+    "lower": ("^[a-z]+$", _LOWER),
+    "upper": ("^[A-Z]+$", _UPPER),
+    "base32": ("^[A-Z2-7]+$", _UPPER + "234567"),
+    "lower36": ("^[a-z0-9]+$", _DIGITS + _LOWER),
+    "upper36": ("^[A-Z0-9]+$", _DIGITS + _UPPER),
+    "letters": ("^[A-Za-z]+$", _UPPER + _LOWER),
+    "alnum": ("^[A-Za-z0-9]+$", _DIGITS + _UPPER + _LOWER),
+    "base64": ("^[A-Za-z0-9+/]+$", _DIGITS + _UPPER + _LOWER + "+/"),
+    "base64url": ("^[A-Za-z0-9_-]+$", _DIGITS + _UPPER + _LOWER + "-_"),
+}
+
+
+def _by_encoding(encoding: Column, value) -> Column:
+    """value(name, alphabet) of the encoding; null if it is null."""
+    return F.element_at(F.create_map(*[F.lit(x) for name, (_, alphabet) in _ENCODINGS.items() for x in (name, value(name, alphabet))]), encoding)
+
+
+def _turn(name: str, alphabet: str) -> float:
+    """Share of places of a random token where the runs test sees a change."""
+    digits = sum(c.isdigit() for c in alphabet) / len(alphabet)
+    return 2 * digits * (1 - digits) if 0 < digits < 1 else 0.5
 
 
 def battery(token: Column) -> Column:
-    """Struct of n, encoding, and p-values of a token: uniform, runs, serial (of randomness) and natural (of natural identifiers)."""
-    encoding = F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(token.rlike("^[A-Z2-7]+=*$"), "base32").when(token.rlike("^[A-Za-z0-9]+$"), "alnum").otherwise("base64")
-    alphabet = F.create_map(*[F.lit(x) for pair in _ALPHABETS.items() for x in pair])
-    low = F.when(encoding == "hex", F.lower(token)).otherwise(token)
-    changes = F.size(F.regexp_extract_all(token, F.lit("[0-9]+|[^0-9]+"), F.lit(0))).cast("double") - 1
-    first = F.struct(F.length(token).cast("double").alias("n"), encoding.alias("encoding"), F.element_at(alphabet, encoding).alias("alphabet"), low.alias("low"), changes.alias("changes"))
-    return _let(first, _tests)
+    """Struct of n (padding aside), encoding, and p-values of a token: uniform, runs, serial, random (of randomness) and natural (of natural identifiers).
+
+    The p-values are null for a token without an encoding.
+    """
+    core = F.rtrim(F.replace(token, F.lit("="), F.lit(" ")))  # tokens have no spaces
+    return _let(core, lambda core: _let(_kind(core), _tests))
 
 
-def _tests(s: Column) -> Column:
-    n, size, low = s["n"], F.length(s["alphabet"]).cast("double"), s["low"]
+def _kind(core: Column) -> Column:
+    encoding = F.lit(None).cast("string")
+    for name, (pattern, _) in reversed(_ENCODINGS.items()):
+        encoding = F.when(core.rlike(pattern), name).otherwise(encoding)
+    return F.struct(core.alias("core"), encoding.alias("encoding"))
+
+
+def _tests(k: Column) -> Column:
+    encoding = k["encoding"]
+    low = F.when(encoding == "hex", F.lower(k["core"])).otherwise(k["core"])
+    alphabet = _by_encoding(encoding, lambda _, a: a)
+    halves = encoding.isin("digits", "lower", "upper", "letters")
+    # a letter a for the first half and a digit for the second, where the alphabet has one class only
+    split = F.when(encoding == "digits", F.translate(low, "01234", "aaaaa")).otherwise(F.translate(F.lower(low), "nopqrstuvwxyz", "0" * 13))
+    changes = F.size(F.regexp_extract_all(F.when(halves, split).otherwise(low), F.lit("[0-9]+|[^0-9]+"), F.lit(0))).cast("double") - 1
+    first = F.struct(F.length(low).cast("double").alias("n"), encoding.alias("encoding"), alphabet.alias("alphabet"), low.alias("low"), changes.alias("changes"))
+    return _let(first, _p_values)
+
+
+def _p_values(s: Column) -> Column:
+    n, size, low, encoding = s["n"], F.length(s["alphabet"]).cast("double"), s["low"], s["encoding"]
     symbols = F.transform(F.sequence(F.lit(1), F.length(s["alphabet"])), lambda i: F.substring(s["alphabet"], i, F.lit(1)))
     count = lambda c: (F.length(low) - F.length(F.replace(low, c, F.lit("")))).cast("double")
     squares = F.aggregate(F.transform(symbols, count), F.lit(0.0), lambda a, c: a + c * c)
     degrees = size - 1
     z_uniform = (F.pow(F.greatest(size / n * squares - n, F.lit(0.0)) / degrees, F.lit(1 / 3)) - (1 - 2 / (9 * degrees))) / F.sqrt(2 / (9 * degrees))
-    digits = F.when(s["encoding"] == "base32", 6.0).otherwise(10.0) / size  # share of digits in the alphabet
     z_changes = lambda turn: (s["changes"] - (n - 1) * turn) / F.sqrt((n - 1) * turn * (1 - turn))
     place = F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.instr(s["alphabet"], F.substring(low, i, F.lit(1))).cast("double"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
@@ -107,7 +152,18 @@ def _tests(s: Column) -> Column:
         return F.when(spread > 0, lagged / spread * F.sqrt(n)).otherwise(F.lit(99.0))
 
     centred = _let(place, lambda p: _let(total(p) / n, lambda mean: F.transform(p, lambda x: x - mean)))
-    return F.struct(n.cast("int").alias("n"), s["encoding"].alias("encoding"), _upper_tail(z_uniform).alias("uniform"), (2 * _upper_tail(F.abs(z_changes(2 * digits * (1 - digits))))).alias("runs"), (2 * _upper_tail(F.abs(_let(centred, serial)))).alias("serial"), _upper_tail(z_changes(F.lit(CHANGE))).alias("natural"))
+    letters = F.length(F.regexp_replace(low, "[^A-Za-z]", "")).cast("double")
+    rare = F.length(F.regexp_replace(F.lower(low), f"[^{RARE}]", "")).cast("double")
+    z_rare = (rare - letters * RARE_SHARE) / F.sqrt(F.greatest(letters, F.lit(1.0)) * RARE_SHARE * (1 - RARE_SHARE))
+    natural = F.when(encoding.isin("hex", "digits"), z_changes(F.lit(CHANGE))).when(encoding.isin("lower", "upper", "letters"), z_rare).otherwise((z_changes(F.lit(CHANGE)) + z_rare) / 2**0.5)
+    p = F.struct(n.cast("int").alias("n"), encoding.alias("encoding"), _upper_tail(z_uniform).alias("uniform"), (2 * _upper_tail(F.abs(z_changes(_by_encoding(encoding, _turn))))).alias("runs"), (2 * _upper_tail(F.abs(_let(centred, serial)))).alias("serial"), _upper_tail(natural).alias("natural"))
+    random = lambda p: F.when(p["encoding"].isNotNull(), F.least(F.lit(1.0), 3 * F.least(p["uniform"], p["runs"], p["serial"])))
+    return _let(p, lambda p: F.struct(*[p[c].alias(c) for c in ("n", "encoding", "uniform", "runs", "serial", "natural")], random(p).alias("random")))
+
+
+def statistic(b: Column) -> Column:
+    """The p-value under control: 1 unless the tests let the token be random."""
+    return F.when(b["random"] > ACCEPT, b["natural"]).otherwise(1.0)
 
 
 def _band(n: Column) -> Column:
@@ -123,8 +179,8 @@ def _bin(p: Column) -> Column:
 
 
 def thresholds(tokens: DataFrame) -> dict[int, int]:
-    """For each band the least bin whose tokens are discoveries, from (n, natural) of all candidates."""
-    counted = tokens.groupBy(_band(F.col("n")).alias("band"), _bin(F.col("natural")).alias("bin")).count().collect()  # at most len(BANDS) * BINS rows
+    """For each band the least bin whose tokens are discoveries, from (n, p) of all candidates."""
+    counted = tokens.groupBy(_band(F.col("n")).alias("band"), _bin(F.col("p")).alias("bin")).count().collect()  # at most len(BANDS) * BINS rows
     out = {}
     for band in range(len(BANDS)):
         counts = {r["bin"]: r["count"] for r in counted if r["band"] == band}
@@ -148,18 +204,18 @@ def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("t"))
     text, yes, small = F.col("t"), F.lit(True), F.lower("t")
     hinted = small.contains("passw") | small.contains("secret") | small.contains("token") | small.contains("api")
-    rows = _once(rows, m0=_matches(text, ASSIGN, hinted, group=2), m1=_matches(text, ACCESS, text.contains("AKIA")), m2=_matches(text, HEX, yes), m3=_matches(text, TOKEN, text.rlike("[0-9]"))).drop("t")
+    rows = _once(rows, m0=_matches(text, ASSIGN, hinted, group=2), m1=_matches(text, ACCESS, text.contains("AKIA")), m2=_matches(text, HEX, yes), m3=_matches(text, TOKEN, yes)).drop("t")
     rows = _once(rows, base=F.concat(_spans(F.col("m0"), 0, LEAST_VALUE), _spans(F.col("m1"), 1, LEAST_ACCESS), _spans(F.col("m2"), 2, 32)), tokens=_spans(F.col("m3"), 3, 20))
     token = F.col("m3.whole")
     pairs = F.zip_with("tokens", F.coalesce(token, F.array().cast("array<string>")), lambda s, x: F.struct(s.alias("span"), x.alias("token")))
-    free = F.filter(pairs, lambda p: p["token"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["start"] < p["span"]["end"]) & (p["span"]["start"] < b["end"])))
+    free = F.filter(pairs, lambda p: ~F.exists("base", lambda b: (b["start"] < p["span"]["end"]) & (p["span"]["start"] < b["end"])))
     rows = _once(rows.select("doc_id", "base", "tokens", "m3"), free=F.when(F.size("tokens") > 0, free)).select("doc_id", "base", "free")
-    tested = rows.where(F.size("free") > 0).select(F.explode("free").alias("f")).select(battery(F.col("f.token")).alias("b")).select("b.n", "b.natural")
+    tested = rows.where(F.size("free") > 0).select(F.explode("free").alias("f")).select(battery(F.col("f.token")).alias("b")).select("b.n", statistic(F.col("b")).alias("p"))
     cut = thresholds(tested)
 
     def random(b: Column) -> Column:
         least = F.element_at(F.array(*[F.lit(cut[k]) for k in range(len(BANDS))]), _band(b["n"]) + 1)
-        return (b["uniform"] > ACCEPT) & (b["runs"] > ACCEPT) & (b["serial"] > ACCEPT) & (_bin(b["natural"]) >= least)
+        return _bin(statistic(b)) >= least
 
     tests = F.transform("free", lambda p: F.struct(p["span"].alias("span"), battery(p["token"]).alias("b")))
     rows = _once(rows, tests=F.when(F.size("free") > 0, tests))

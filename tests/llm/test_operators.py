@@ -300,6 +300,22 @@ def test_secrets(docs, odd, spark):
     assert secrets.secret_scan(odd).count() == len(ODD) and secrets.secret_scan(odd.where("false")).count() == 0
 
 
+def test_secrets_recall_by_encoding_and_length(spark):
+    """Tokens drawn at random from each encoding are found, long ones too, and natural identifiers among them are not."""
+    from string import ascii_letters, ascii_lowercase, ascii_uppercase, digits
+
+    alphabets = {"hex": digits + "ABCDEF", "base32": ascii_uppercase + "234567", "lower36": digits + ascii_lowercase, "upper36": digits + ascii_uppercase, "alnum": digits + ascii_letters, "base64": digits + ascii_letters + "+/", "base64url": digits + ascii_letters + "-_", "lower": ascii_lowercase, "upper": ascii_uppercase, "letters": ascii_letters, "digits": digits}
+    r = random.Random(11)
+    kinds = [(name, n) for name in alphabets for n in ((24, 30) if name == "digits" else (40, 64, 128, 2400))]  # longer digits are base spans
+    rows = [(100 * k + i, "see " + "".join(r.choice(alphabets[name]) for _ in range(n)) + " there") for k, (name, n) in enumerate(kinds) for i in range(50)]
+    plain = ["internationalizationsupportmodule", "file2023reportfinalversion_draft_number3", "getUserAccountSettingsFromDatabaseRecord", "usr/local/share/applications/menu", "Donaudampfschifffahrtsgesellschaft", "00000000000000000000001234", "a_b/c-d_e/f-g_h/i-j_k/l-m9"]
+    rows += [(1_000_000 + i, f"see {plain[i % len(plain)]} there") for i in range(70)]
+    found = Counter((x.doc_id // 100, x.n_random) for x in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    recall = {kind: found[k, 1] / 50 for k, kind in enumerate(kinds)}
+    assert {kind: share for kind, share in recall.items() if share < (0.8 if kind[1] <= 40 else 0.94)} == {}
+    assert found[10_000, 0] == 70
+
+
 def test_line_dedup(docs, odd, spark):
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
     sites, first = {}, {}
