@@ -86,3 +86,46 @@ def transitions(events: DataFrame, key: str, allowed: set[tuple[str, str]]) -> D
     steps = F.array(*[F.lit(f"{a}>{b}") for a, b in sorted(allowed)])
     out = events.withColumn("before", F.lag("status").over(w))
     return out.withColumn("valid", F.col("before").isNull() | F.array_contains(steps, F.concat_ws(">", "before", "status")))
+
+
+def collection_conflicts(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """current, incoming (ids) and the first reason by which two collections look the same: case number, date and officer, date and location.
+
+    Both have id, case_number, date (text, of which ten characters count), officer and location; nulls and empty texts match
+    nothing, and equal ids are no conflict.
+    """
+    known = lambda c: F.when(F.col(c) != "", F.lower(c))
+    keys = lambda d, side: d.select(F.col("id").alias(side), known("case_number").alias("case_number"), F.when(F.col("date") != "", F.substring("date", 1, 10)).alias("date"), known("officer").alias("officer"), known("location").alias("location"))
+    a, b = keys(current, "current"), keys(incoming, "incoming")
+    passes = (("case number", ["case_number"]), ("date and officer", ["date", "officer"]), ("date and location", ["date", "location"]))
+    pairs = [a.join(b, on).where("current <> incoming").select("current", "incoming", F.struct(F.lit(k).alias("k"), F.lit(reason).alias("reason")).alias("why")) for k, (reason, on) in enumerate(passes)]
+    return reduce(DataFrame.unionByName, pairs).groupBy("current", "incoming").agg(F.min("why").alias("why")).select("current", "incoming", "why.reason")
+
+
+def link_evidence(items: DataFrame, files: DataFrame) -> DataFrame:
+    """i, j, method and confidence of the files that four ordered passes link to items, each over what earlier ones left.
+
+    Items have i (their order), file_id, item_number, serial and description; files have j, path, evidence_number, serial and
+    filename.  The first pass takes the first file of that path, and a file may then serve several items; the others are
+    one-to-one in input order.  The last is by containment of one normalized text in the other, with a join of all pairs left.
+    """
+    normal = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    say = lambda d, method, confidence: d.select("i", "j", F.lit(method).alias("method"), F.lit(confidence).alias("confidence"))
+    first = files.groupBy(F.col("path").alias("file_id")).agg(F.min("j").alias("j"))
+    found = [say(items.where("file_id <> ''").join(first, "file_id"), "evidence_file_id", "high")]
+    rest = lambda: (items.join(reduce(DataFrame.unionByName, found), "i", "left_anti"), files.join(reduce(DataFrame.unionByName, found), "j", "left_anti"))
+    for method, confidence, mine, theirs in (("item_number", "medium", "item_number", "evidence_number"), ("serial_number", "high", "serial", "serial")):
+        left, right = rest()
+        left = left.where(F.col(mine) != "").select(normal(mine).alias("key"), F.col("i").alias("o"))
+        right = right.where(F.col(theirs) != "").select(normal(theirs).alias("key"), F.col("j").alias("o"))
+        pairs = link_by_rank(left, right, "key", "o").select(F.col("o").alias("i"), F.col("o_right").alias("j"))
+        found.append(say(pairs, method, confidence).localCheckpoint())
+    left, right = rest()
+    left, right = left.where("description <> ''").select("i", normal("description").alias("d")), right.select("j", normal("filename").alias("f"))
+    free = left.join(right, F.contains("d", "f") | F.contains("f", "d")).select("i", "j").localCheckpoint()
+    while not free.isEmpty():  # a pair that is the first of its item and of its file is what the greedy order takes
+        of_item, of_file = free.groupBy("i").agg(F.min("j").alias("j")), free.groupBy("j").agg(F.min("i").alias("i"))
+        taken = of_item.join(of_file, ["i", "j"]).localCheckpoint()
+        found.append(say(taken, "filename", "low"))
+        free = free.join(taken.select("i"), "i", "left_anti").join(taken.select("j"), "j", "left_anti").localCheckpoint()
+    return reduce(DataFrame.unionByName, found)

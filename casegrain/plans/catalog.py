@@ -293,6 +293,15 @@ def _(t):
     return a.join(b, ["s_nationkey", "m"]).where("current < incoming").select("current", "incoming")
 
 
+@query("j10_first_reason", """
+WITH o AS (SELECT o_orderkey AS id, o_custkey AS n, o_orderdate::DATE AS d, lower(o_orderstatus) AS f, lower(o_orderpriority) AS l FROM orders)
+SELECT a.id AS current, b.id AS incoming, CASE WHEN a.n = b.n THEN 'case number' WHEN a.f = b.f THEN 'date and officer' ELSE 'date and location' END AS reason
+FROM o a JOIN o b ON a.id % 2 = 0 AND b.id % 2 = 1 AND (a.n = b.n OR (a.d = b.d AND (a.f = b.f OR a.l = b.l)))""")
+def _(t):
+    o = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("case_number"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_orderstatus").alias("officer"), F.col("o_orderpriority").alias("location"))
+    return reconcile.collection_conflicts(o.where("id % 2 = 0"), o.where("id % 2 = 1"))
+
+
 @query("j11_unlinked", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def _(t): return t("customer").join(t("orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 

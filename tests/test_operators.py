@@ -122,3 +122,16 @@ def test_stream_equals_batch(spark, tmp_path):
     for k in ("k1", "k2"):  # a batch that runs again gives the same table
         jobs.upsert_by_container(stream, str(tmp_path / "t"), str(tmp_path / k)).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "t")).count() == events.count()
+
+
+def test_collection_conflicts_and_linked_evidence(spark):
+    """Pairs that match by a later key are found, with the first reason; passes are ordered and greedy."""
+    columns = "id string, case_number string, date string, officer string, location string"
+    current = spark.createDataFrame([("a", "C1", "2024-01-02T10:00", "Ann", "X"), ("b", "", "2024-01-03", "Bo", "Y"), ("c", None, None, None, None)], columns)
+    incoming = spark.createDataFrame([("a", "c1", "2024-01-02", "ann", "x"), ("p", "c1", "2024-01-02", "ANN", "x"), ("q", "", "2024-01-03T01", "bO", "y"), ("r", None, "2024-01-03", None, "y"), ("s", "", "", "", "")], columns)
+    got = sorted(map(tuple, reconcile.collection_conflicts(current, incoming).collect()))
+    assert got == [("a", "p", "case number"), ("b", "q", "date and officer"), ("b", "r", "date and location")]
+    items = spark.createDataFrame([(0, "/e/1", "", "", ""), (1, "", "IT 2 ", "", ""), (2, "", "it  2", "S9", ""), (3, "", "", "", "the Disk.img of desk"), (4, "", "", "", "disk.img"), (5, "", "", "", "disk"), (6, "/e/1", "", "", ""), (7, "", "", "", "nothing")], "i int, file_id string, item_number string, serial string, description string")
+    files = spark.createDataFrame([(0, "/e/1", "it 2", "", "x.ad1"), (1, "/e/2", "it 2", "s9", "y.ad1"), (2, "/e/3", None, "s9", "z.ad1"), (3, "/e/4", None, None, "disk.img"), (4, "/e/5", None, None, "disk.img"), (5, "/e/6", None, None, "old disk.raw")], "j int, path string, evidence_number string, serial string, filename string")
+    got = sorted(map(tuple, reconcile.link_evidence(items, files).collect()))
+    assert got == [(0, 0, "evidence_file_id", "high"), (1, 1, "item_number", "medium"), (2, 2, "serial_number", "high"), (3, 3, "filename", "low"), (4, 4, "filename", "low"), (5, 5, "filename", "low"), (6, 0, "evidence_file_id", "high")]
