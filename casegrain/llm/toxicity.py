@@ -35,7 +35,7 @@ _CACHE, _MOVES = 1 << 16, 1 << 18
 
 
 class Trie:
-    """Terms by letter; a node's kind is 1 where a word ends, 2 where a stem does.
+    """Terms by letter; a node's kind is 1 where a word ends, 2 where a stem does, 4 where a form of a stem does.
 
     `find` runs the product of the trie and the Levenshtein automaton (with swaps of neighbours) of `edits` edits.  Its
     states are sets of (node, edits so far, letter owed by a swap); they are made when first met and kept, so a token costs
@@ -89,7 +89,7 @@ class Trie:
         return self._skips(out)
 
     def find(self, token: str) -> int:
-        """1 a word of the lexicon, 2 a form of a stem, 3 within the edits of a word, 0 none of those."""
+        """1 a word of the lexicon, 2 a form of a stem, 3 within the edits of a word or of a form, 0 none of those."""
         node, stem = 0, False
         for letter in token:
             node = self.children[node].get(letter, -1)
@@ -116,7 +116,7 @@ class Trie:
             states = after
             if not states:
                 return 0
-        return 3 * any(not owed and self.kind[node] & 1 for node, _, owed in states)
+        return 3 * any(not owed and self.kind[node] & 5 for node, _, owed in states)
 
     def _slow(self, _: frozenset, token: str) -> int:
         self.moves.clear()
@@ -133,7 +133,7 @@ class Model:
     def __post_init__(self) -> None:
         self.trie, self.cache = Trie(), {}
         for w in self.words:
-            self.trie.add(w, 1)
+            self.trie.add(w, 4 if any(w.startswith(s) for s in self.stems) else 1)
         for w in self.stems:
             self.trie.add(w, 2)
 
@@ -198,7 +198,7 @@ def learn(rows: list[tuple[int, str]]) -> Model:
     for s in sorted(likely, key=lambda s: (len(s), s)):
         if forms[s] >= 3 and not any(s.startswith(t) for t in stems):
             stems.add(s)
-    words = {w for w, c in df[1].items() if len(w) > 2 and telling(c, df[0][w], 4, 20) and not any(w.startswith(s) for s in stems)}
+    words = {w for w, c in df[1].items() if len(w) > 2 and telling(c, df[0][w], 4, 20)}  # forms of stems too, for their misspellings
     plain = frozenset(w for w, c in df[0].items() if c >= 2)
     model = Model(sorted(words), sorted(stems), plain, np.zeros(5))
     x = np.array([[1.0, *model.features(text)] for _, text in rows])

@@ -196,6 +196,14 @@ def test_classifiers(spark, odd):
     assert out.count() == len(ODD) and out.columns.count("score") == 1
 
 
+def test_toxicity_misspelled_forms_of_a_stem():
+    """Once its forms have a stem, a term's misspellings are still seen, and the forms count as before."""
+    toxic = [(1, f"you {w} there") for w in ("idiot", "idiots", "idiotic", "idiotically")] * 10
+    model = toxicity.learn(toxic + [(0, "a fine day there")] * 40)
+    assert model.stems and any("idiot".startswith(s) for s in model.stems)
+    assert [model.kind(w) for w in ("idiot", "idiots", "idoit", "iidiotic", "day")] == [2, 2, 3, 3, 0]
+
+
 def test_decontamination(spark, docs, odd):
     items = spark.read.parquet(f"{DIR}/benchmark.parquet")
     bench, rows = [(r.item_id, r.text) for r in items.collect()], [(r.doc_id, r.text) for r in docs.collect()]
