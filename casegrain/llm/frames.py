@@ -6,7 +6,7 @@ import ctypes
 import math
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,17 +16,23 @@ from pyspark.sql import functions as F
 GROUP_BYTES = 4 << 20
 
 
-#: Arrow batches that go to Python hold about this many bytes (a longer row goes alone), unless the session says otherwise.
+#: The queries ask for Arrow batches of about this many bytes (a longer row goes alone), unless the session says otherwise.
 BATCH_BYTES = 8 << 20
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 Batches = Iterator[pa.RecordBatch]
+_own_folder = ""
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """The session, told to send batches of BATCH_BYTES to Python where it says nothing of it; for those who own the session."""
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+    return spark
 
 
 def map_batches(df: DataFrame, run: Callable[[Batches], Batches], schema) -> DataFrame:
-    """df.mapInArrow in batches of bounded size; each task gives the memory it has freed back to the system."""
-    if df.sparkSession.conf.get(_BATCH_KEY, None) is None:
-        df.sparkSession.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+    """df.mapInArrow; each task gives the memory it has freed back to the system."""
 
     def tidy(batches: Batches) -> Batches:
         try:
@@ -45,16 +51,26 @@ def give_back() -> None:
         trim(0)
 
 
+def fresh_name(taken: Iterable[str], stem: str) -> str:
+    """A column name that none of `taken` equals, whatever the case."""
+    names, k = {t.lower() for t in taken}, 0
+    while f"{stem}_{k}" in names:
+        k += 1
+    return f"{stem}_{k}"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests on one machine), a temporary one, set from then on."""
+    """The folder in spark.checkpoint.dir; where that is unset, one of this process, but on a local master only."""
+    global _own_folder
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _own_folder = _own_folder or tempfile.mkdtemp(prefix="checkpoints-")
     return folder.rstrip("/")
 
 

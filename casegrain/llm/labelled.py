@@ -14,7 +14,7 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """(y, text) of at most `rows` labelled rows of each class that may be learnt from, picked by a hash of doc_id.
 
-    Rows with a null doc_id, label or text are left out.
+    Rows with a null doc_id, label or text are left out.  Of rows with one doc_id and label the least text counts.
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(label).cast("int").alias("y")).where(F.col("__id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("__id")))
     picked = None
@@ -22,4 +22,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFra
         part = marked.where(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(rows)
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    return texts.join(F.broadcast(picked), "__id").select("__id", "y", "text")  # bounded by 2 * rows
+    found = texts.join(F.broadcast(picked.distinct()), "__id")  # bounded by 2 * rows
+    return found.groupBy("__id", "y").agg(F.min("text").alias("text"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from casegrain.llm import secrets
 from casegrain.llm.decontamination import find_leaks
 from casegrain.llm.fingerprint import fingerprints
-from casegrain.llm.frames import read
+from casegrain.llm.frames import bounded_batches, read
 from casegrain.llm.html_extraction import extract_main_text
 from casegrain.llm.line_dedup import line_dedup
 from casegrain.llm.mixing import mix
@@ -68,7 +68,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprint, op2_substring_dedup, op3_toxicity, op4_decontamination, op5_html_extraction, op6_quality, op7_ngram_join, op8_mixing, op9_secrets, op10_line_dedup)}
+    """Each query, told to bound the Arrow batches of the session that it is given."""
+    return {f.__name__: lambda spark, sf_dir, f=f: f(bounded_batches(spark), sf_dir) for f in (op1_fingerprint, op2_substring_dedup, op3_toxicity, op4_decontamination, op5_html_extraction, op6_quality, op7_ngram_join, op8_mixing, op9_secrets, op10_line_dedup)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

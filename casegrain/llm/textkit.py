@@ -87,8 +87,17 @@ class Words:
     @property
     def hashes(self) -> np.ndarray:
         if self._hashes is None:
-            data = LOWER[self.data] if self._lower else self.data
-            self._hashes = _range_hash(_BYTE_CODE[data], self.starts, self.ends, _BYTE_BASE)
+            parts = [np.zeros(0, U64)]
+            # a word's hash depends on its own bytes only: a long text is met in pieces, a longer word alone
+            at = 0
+            while at < len(self.starts):
+                end = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + CHUNK_BYTES, "right")))
+                lo = self.starts[at]
+                data = self.data[lo : self.ends[end - 1]]
+                codes = _BYTE_CODE[LOWER[data] if self._lower else data]
+                parts.append(_range_hash(codes, self.starts[at:end] - lo, self.ends[at:end] - lo, _BYTE_BASE))
+                at = end
+            self._hashes = np.concatenate(parts)
         return self._hashes
 
     @property
@@ -106,9 +115,9 @@ class Words:
         at = np.arange(len(self.starts))
         return _range_hash(self.hashes, at, np.minimum(at + n, len(at)), _WORD_BASE)
 
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of the words start..end for each pair."""
-        return _range_hash(self.hashes, starts, ends, _WORD_BASE)
+    def spans(self, starts: np.ndarray, ends: np.ndarray, base: int = _WORD_BASE) -> np.ndarray:
+        """Hash of the words start..end for each pair; an odd base of another value gives a hash of its own."""
+        return _range_hash(self.hashes, starts, ends, base)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
