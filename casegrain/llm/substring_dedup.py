@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegrain.llm import frames
-from casegrain.llm.textkit import Words, expand, ids, mix64, word_chunks
+from casegrain.llm.textkit import Words, expand, ids, word_chunks
 
 ANCHOR = np.dtype([("m", "<u8"), ("doc", "<i8"), ("many", "u1"), ("block", "u1")])
 SEQUENCE = np.dtype([("h", "<u8"), ("g", "<u4"), ("doc", "<i8"), ("row", "<i4"), ("at", "<i4")])
 PLACE = np.dtype([("row", "<i4"), ("at", "<i4")])
 _SHINGLE = 8
-_SECOND = np.uint64(0xA24BAED4963EE407)
+_SECOND = 0xA24BAED4963EE407
 
 
 def _table(group: int, keys: list[int], blobs: list[bytes], buckets: list[int] | None = None) -> pa.Table:
@@ -152,7 +152,7 @@ def _sequences(window: int, block: int, buckets: int):
                 continue
             part = np.zeros(len(start), SEQUENCE)
             part["h"] = words.spans(start, start + window)
-            part["g"] = (mix64(words.hashes[start] * _SECOND ^ words.hashes[start + window // 2] + words.hashes[start + window - 1]) >> np.uint64(32)).astype(np.uint32)
+            part["g"] = (words.spans(start, start + window, _SECOND) >> np.uint64(32)).astype(np.uint32)
             own = words.doc[start]
             part["row"], part["at"], part["doc"] = own + row, start - words.pointers[own], doc[own + row]
             parts.append(part)
