@@ -28,7 +28,8 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site
     stays null with 0 lines.  A null site counts as one site; a null doc_id sorts after all others.  Rows with the doc_id
     that keeps a line all keep it.  An empty table gives none.  Columns of docs named like the new ones are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("lines_before", "lines_removed")]
+    kept = [c for c in docs.columns if c.lower() not in ("lines_before", "lines_removed")]
+    gone_at, gone_id, gone_key = (frames.fresh_name(docs.columns, c) for c in ("gone", "gone_id", "gone_key"))
     whole = F.split(F.col(text).cast("string"), "\n")
     line = F.trim(F.regexp_replace(F.col("line"), r"^\s+|\s+$", ""))
     order = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
@@ -41,10 +42,10 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site
     exact = rows.join(near.select("h", "g"), ["h", "g"]).groupBy("h", "g").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites)
     common = spread.where(F.col("sites") > min_sites * (1 + NEAR)).select("h", "g", "first")
     common = common.unionByName(near.join(exact.select("h", "g"), ["h", "g"]).select("h", "g", "first"))
-    gone = rows.join(common, ["h", "g"]).where("id <> first").groupBy("id", "tkey").agg(F.collect_set("at").alias("__gone"))
-    gone = gone.select(F.col("id").alias("__id"), F.col("tkey").alias("__key"), "__gone")
-    out = docs.join(gone, (order == F.col("__id")) & (F.xxhash64(docs[text].cast("string")) == F.col("__key")), "left")
+    gone = rows.join(common, ["h", "g"]).where("id <> first").groupBy("id", "tkey").agg(F.collect_set("at").alias(gone_at))
+    gone = gone.select(F.col("id").alias(gone_id), F.col("tkey").alias(gone_key), gone_at)
+    out = docs.join(gone, (order == F.col(gone_id)) & (F.xxhash64(docs[text].cast("string")) == F.col(gone_key)), "left")
     lines = F.transform(whole, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    left = F.transform(F.filter(lines, lambda s: ~F.array_contains("__gone", s["i"])), lambda s: s["x"])
-    new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
-    return out.select(*[(new.alias(c) if c == text else F.col(f"`{c}`")) for c in kept], F.coalesce(F.size(whole), F.lit(0)).cast("long").alias("lines_before"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("lines_removed")).withColumn("lines_before", F.when(F.col("lines_before") < 0, 0).otherwise(F.col("lines_before"))).withColumn("lines_removed", F.greatest("lines_removed", F.lit(0).cast("long")))
+    left = F.transform(F.filter(lines, lambda s: ~F.array_contains(gone_at, s["i"])), lambda s: s["x"])
+    new = F.when(F.col(gone_at).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    return out.select(*[(new.alias(c) if c == text else F.col(f"`{c}`")) for c in kept], F.coalesce(F.size(whole), F.lit(0)).cast("long").alias("lines_before"), F.coalesce(F.size(gone_at), F.lit(0)).cast("long").alias("lines_removed")).withColumn("lines_before", F.when(F.col("lines_before") < 0, 0).otherwise(F.col("lines_before"))).withColumn("lines_removed", F.greatest("lines_removed", F.lit(0).cast("long")))
