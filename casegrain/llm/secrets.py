@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casegrain.llm import frames
+
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
@@ -32,6 +34,8 @@ CHANGE = 0.1  # share of places where a natural identifier changes between lette
 RARE, RARE_SHARE = "jkqvwxyz", 0.08  # letters that are rare in natural text, and their share of its letters at most
 BANDS = (20, 24, 32, 48, 64, 128)
 BINS = 64
+#: Positions are summed in runs of so many matches.
+STEP = 32
 
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
 
@@ -52,18 +56,42 @@ def _matches(text: Column, pattern: str, possible: Column, group: int = 0) -> Co
     return F.when(possible & text.rlike(pattern), F.struct(get(0).alias("whole"), get(group).alias("value"), F.split(text, pattern).alias("between")))
 
 
+def _starts(sizes: Column, levels: int = 3) -> Column:
+    """Sum of all sizes before each, in STEP * levels steps an item: sums inside runs of STEP, and those of the runs before.
+
+    An array longer than STEP ** (levels + 1) costs more; shorter ones use as few levels as they need.
+    """
+    upto = lambda a, lo, n: F.aggregate(F.slice(a, lo + 1, n), F.lit(0), lambda x, y: x + y)
+    flat = lambda a: F.transform(a, lambda _, i: upto(a, F.lit(0), i))
+    if not levels:
+        return flat(sizes)
+
+    def stepped(a: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / STEP).cast("int")), lambda k: upto(a, k * STEP, F.lit(STEP)))
+        return _let(_starts(runs, levels - 1), lambda before: F.transform(a, lambda _, i: F.get(before, F.floor(i / STEP).cast("int")) + upto(a, i - i % STEP, i % STEP)))
+
+    return _let(sizes, lambda a: F.when(F.size(a) <= STEP, flat(a)).otherwise(stepped(a)))
+
+
 def _spans(m: Column, rank: int, least: int) -> Column:
     """Spans of the matches in code points; one stays if its group has `least` characters."""
+    steps = F.zip_with(F.slice(m["between"], 1, F.size(m["whole"])), m["whole"], lambda b, x: F.length(b) + F.length(x))
 
-    def place(x: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice(m["between"], 1, i + 1), F.lit(0), lambda a, y: a + F.length(y)) + F.aggregate(F.slice(m["whole"], 1, i), F.lit(0), lambda a, y: a + F.length(y))
-        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(x)).alias("end"), F.length(F.get(m["value"], i)).alias("n"))
+    def place(before: Column) -> Column:
+        return F.transform(m["whole"], lambda x, i: _let(F.get(before, i) + F.length(F.get(m["between"], i)), lambda start: F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(x)).alias("end"), F.length(F.get(m["value"], i)).alias("n"))))
 
-    found = F.filter(F.transform(m["whole"], place), lambda s: s["n"] >= least)
+    found = F.filter(_let(_starts(steps), place), lambda s: s["n"] >= least)
     found = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
     return F.when(m.isNotNull(), found).otherwise(F.array().cast(_SPAN))
 
 
+def _meets(spans: Column, start: Column, end: Column) -> Column:
+    """Whether a span overlaps one of `spans`, which are ascending and apart: halving finds the first that ends after its start."""
+    half = lambda lo, k: F.when((lo + k <= F.size(spans)) & (F.get(spans, lo + k - 1)["end"] <= start), lo + k).otherwise(lo)
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), lambda k: k <= F.size(spans))
+    return F.coalesce(_let(F.aggregate(steps, F.lit(0), half), lambda at: F.get(spans, at)["start"] < end), F.lit(False))
+
+
 def _let(value: Column, f) -> Column:
     """f of a value that is worked out once."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
@@ -198,18 +226,19 @@ def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     `found` is an array of (start, rank, end), ascending: code points, end exclusive; rank is the place in KINDS.  A null
     text is empty and has none.  Repeated rows each give a row; a null doc_id is kept.  An empty table gives none.  Other
-    columns are not read.  No shuffle but that of the bins.
+    columns are not read.  No shuffle but that of the bins; texts are read once, and spans and tokens written.  Work grows
+    with the length of a text and the number of its matches, not with their square.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("t"))
     text, yes, small = F.col("t"), F.lit(True), F.lower("t")
     hinted = small.contains("passw") | small.contains("secret") | small.contains("token") | small.contains("api")
     rows = _once(rows, m0=_matches(text, ASSIGN, hinted, group=2), m1=_matches(text, ACCESS, text.contains("AKIA")), m2=_matches(text, HEX, yes), m3=_matches(text, TOKEN, yes)).drop("t")
-    rows = _once(rows, base=F.concat(_spans(F.col("m0"), 0, LEAST_VALUE), _spans(F.col("m1"), 1, LEAST_ACCESS), _spans(F.col("m2"), 2, 32)), tokens=_spans(F.col("m3"), 3, 20))
+    rows = _once(rows, b0=_spans(F.col("m0"), 0, LEAST_VALUE), b1=_spans(F.col("m1"), 1, LEAST_ACCESS), b2=_spans(F.col("m2"), 2, 32), tokens=_spans(F.col("m3"), 3, 20))
     token = F.col("m3.whole")
     pairs = F.zip_with("tokens", F.coalesce(token, F.array().cast("array<string>")), lambda s, x: F.struct(s.alias("span"), x.alias("token")))
-    free = F.filter(pairs, lambda p: ~F.exists("base", lambda b: (b["start"] < p["span"]["end"]) & (p["span"]["start"] < b["end"])))
-    rows = _once(rows.select("doc_id", "base", "tokens", "m3"), free=F.when(F.size("tokens") > 0, free)).select("doc_id", "base", "free")
+    free = F.filter(pairs, lambda p: ~(_meets(F.col("b0"), p["span"]["start"], p["span"]["end"]) | _meets(F.col("b1"), p["span"]["start"], p["span"]["end"]) | _meets(F.col("b2"), p["span"]["start"], p["span"]["end"])))
+    rows = frames.checkpointed(rows.select("doc_id", F.concat("b0", "b1", "b2").alias("base"), F.when(F.size("tokens") > 0, free).alias("free")))
     tested = rows.where(F.size("free") > 0).select(F.explode("free").alias("f")).select(battery(F.col("f.token")).alias("b")).select("b.n", statistic(F.col("b")).alias("p"))
     cut = thresholds(tested)
 
