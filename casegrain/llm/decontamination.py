@@ -1,17 +1,23 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, block-max WAND, and an overlap check.
 
-The index holds the test items (in blocks of at most ITEMS_AT_ONCE, so what a task gets is bounded however many there are).
-Every passage of every training document is a query.  Items are put in blocks of similar full score; for each block and
-term the greatest impact is kept.  A passage's upper bound in a block is the sum of its terms' greatest impacts there; a
-block whose bound stays under the least threshold of its items is skipped, and only the others are scored in full.  All
-items that reach their threshold are retrieved; a document is contaminated by an item when enough of the item's word
-shingles stand in the document, in its question part and in its answer part.
+The index holds the test items, in parts of about ITEMS_AT_ONCE, so what a task gets is bounded however many there are.
+Term frequencies, the number of items and their mean length are those of all items, so scores don't depend on the parts.
+Every passage of every training document is a query.  WAND in three steps, each over all passages of a piece at once:
+
+* pivot: a passage whose terms' greatest impacts over the whole index don't add up to the least threshold ends there;
+* block maxima: items stand in blocks of similar full score, each with its greatest impact of every term; a block whose
+  sum stays under the least threshold of its items is skipped;
+* only what is left is scored in full.
+
+All items that reach their threshold are retrieved.  A document is contaminated by an item when enough of the item's word
+shingles stand near the passages that retrieved it: of its question part and, where the item has one, of its answer part.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +31,12 @@ K1, B = 1.2, 0.75
 PASSAGE, STRIDE = 64, 32
 #: An item is retrieved at this share of its full score (its score with itself as query).
 SHARE = 0.5
-#: Least share of five-word shingles that must be found, of the question and of the answer part.
+#: Least share of word shingles that must be found, of the question and of the answer part (shorter shingles in parts under ten words).
 OVERLAP, SHINGLE = 0.5, 5
-ITEMS_AT_ONCE, BLOCK = 2000, 8
+#: Items in a part of the index, parts that one pass over the documents meets, items in a block.
+ITEMS_AT_ONCE, PARTS_AT_ONCE, BLOCK = 2000, 8, 8
+#: Passages scored at once; a longer text goes on in the next round.
+PASSAGES_AT_ONCE = 8192
 
 #: Case and ASCII punctuation don't tell words apart.
 _NORM = np.arange(256, dtype=np.uint8)
@@ -37,59 +46,74 @@ _ANSWER = re.compile(r"(?:\banswer\s*:|\bA:|\?)(?=\s*\S)", re.IGNORECASE)
 
 
 def parts(text: str) -> tuple[str, str]:
-    """Question and answer: cut after the last question mark or answer sign; else the last third of the words is the answer."""
+    """Question and answer: cut after the last question mark or answer sign; without one the whole text is the question."""
     cut = [m.end() for m in _ANSWER.finditer(text)]
-    if cut:
-        return text[: cut[-1]], text[cut[-1] :]
-    words = text.split()
-    n = len(words) - len(words) // 3
-    return " ".join(words[:n]), " ".join(words[n:])
+    return (text[: cut[-1]], text[cut[-1] :]) if cut else (text, "")
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(_NORM[data], offsets)
 
 
-def _grams(text: str) -> np.ndarray:
+def _grams(text: str) -> tuple[np.ndarray, int]:
+    """The distinct shingles of a part, and how many words each has."""
     w = _words(*buffers(pa.array([text])))
-    n = min(SHINGLE, len(w.starts))
-    at = np.arange(len(w.starts) - n + 1) if n else np.zeros(0, np.int64)
-    return np.unique(w.spans(at, at + n))
+    n = max(1, min(SHINGLE, len(w.starts) // 2))
+    at = np.arange(max(0, len(w.starts) - n + 1))
+    return np.unique(w.spans(at, at + n)), n
+
+
+@dataclass
+class Statistics:
+    """What BM25 needs to know of all items: their number, their mean length in words, and in how many each term is."""
+
+    items: int
+    mean: float
+    terms: np.ndarray  # sorted hashes; those of the part of the index are enough
+    df: np.ndarray
+
+    @classmethod
+    def of(cls, w: Words) -> Statistics:
+        terms, term = np.unique(w.hashes, return_inverse=True)
+        pair = np.unique(w.doc * max(len(terms), 1) + term.reshape(-1))
+        return cls(len(w.counts), float(w.counts.sum()) / max(len(w.counts), 1), terms, np.bincount(pair % max(len(terms), 1), minlength=len(terms)))
 
 
 class Index:
     """Items sorted by full score, impacts of common terms as a dense matrix, of the others as postings."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None):
         texts = [t for _, t in items]
         w = _words(*buffers(pa.array(texts, pa.large_string())))
+        every = statistics or Statistics.of(w)
         self.vocabulary, term = np.unique(w.hashes, return_inverse=True)
         term, v, n = term.reshape(-1), len(self.vocabulary), len(items)
-        pair, tf = np.unique(w.doc * v + term, return_counts=True) if v else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        pair, tf = np.unique(w.doc * max(v, 1) + term, return_counts=True)
         item, term = pair // max(v, 1), pair % max(v, 1)
-        df = np.bincount(term, minlength=v)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        length = w.counts / max(w.counts.mean(), 1e-9)
+        df = every.df[np.searchsorted(every.terms, self.vocabulary)]
+        idf = np.log(1 + (every.items - df + 0.5) / (df + 0.5))
+        length = w.counts / max(every.mean, 1e-9)
         impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item]))
         full = np.bincount(item, impact, minlength=n)
         order = np.argsort(full, kind="stable")
-        place = np.argsort(order)
-        item = place[item]
-        self.ids = [items[i][0] for i in order]
+        item = np.argsort(order)[item]
+        self.ids, self.length = [items[i][0] for i in order], w.counts[order]
         self.threshold = (SHARE * full * np.minimum(1, 0.75 * PASSAGE / np.maximum(w.counts, 1)))[order]
         self.threshold[full[order] == 0] = np.inf  # items without words match nothing
         halves = [parts(texts[i]) for i in order]
         self.question, self.answer = [_grams(q) for q, _ in halves], [_grams(a) for _, a in halves]
         self.blocks = -(-n // BLOCK)
         self.block_threshold = np.minimum.reduceat(self.threshold, np.arange(0, n, BLOCK))
-        common = np.flatnonzero(df > max(4, 0.1 * n))
+        self.most = np.zeros(v)
+        np.maximum.at(self.most, term, impact)
+        within = np.bincount(term, minlength=v)
+        common = np.flatnonzero(within > max(4, 0.1 * n))
         self.common = np.full(v, -1)
         self.common[common] = np.arange(len(common))
         dense = self.common[term] >= 0
-        self.dense = np.zeros((len(common), n), np.float32)
-        self.dense[self.common[term[dense]], item[dense]] = impact[dense]
-        padded = np.zeros((len(common), self.blocks * BLOCK), np.float32)
-        padded[:, :n] = self.dense
+        padded = np.zeros((len(common), self.blocks * BLOCK))
+        padded[self.common[term[dense]], item[dense]] = impact[dense]
+        self.dense = padded[:, :n]
         self.dense_max = padded.reshape(len(common), self.blocks, BLOCK).max(axis=2)
         term, item, impact = term[~dense], item[~dense], impact[~dense]
         order = np.lexsort((item, term))
@@ -102,118 +126,177 @@ class Index:
 
     def retrieve(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, item, best score of a passage) of all items that reach their threshold."""
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return self.located(words)[:3]
+
+    def located(self, words: Words) -> tuple[np.ndarray, ...]:
+        """(document, item, best score, first passage, last passage) of all items that reach their threshold in a passage."""
         v, n = len(self.vocabulary), len(self.ids)
-        if not v or not len(words.starts):
-            return none
         count = np.maximum(1, -(-(words.counts - PASSAGE) // STRIDE) + 1) * (words.counts > 0)  # passages of each document
         base = np.cumsum(count) - count
-        term = np.minimum(np.searchsorted(self.vocabulary, words.hashes), v - 1)
-        known = np.flatnonzero(self.vocabulary[term] == words.hashes)
-        doc, step = words.doc[known], words.within[known] // STRIDE
-        late = np.minimum(step, count[doc] - 1)
-        early = np.maximum(np.minimum(step, count[doc] - 1) - (PASSAGE // STRIDE - 1), 0)
-        early = np.where(words.within[known] < early * STRIDE + PASSAGE, early, late)
-        passage = np.concatenate([base[doc] + late, base[doc] + early])
-        pair = np.unique(passage * v + np.concatenate([term[known], term[known]]))
-        passage, term = pair // v, pair % v
-        total = int(count.sum())
+        hits: list[tuple[np.ndarray, ...]] = []
+        if v and len(words.starts):
+            term = np.minimum(np.searchsorted(self.vocabulary, words.hashes), v - 1)
+            known = np.flatnonzero(self.vocabulary[term] == words.hashes)
+            doc, step = words.doc[known], words.within[known] // STRIDE
+            late = np.minimum(step, count[doc] - 1)
+            early = np.maximum(late - (PASSAGE // STRIDE - 1), 0)
+            early = np.where(words.within[known] < early * STRIDE + PASSAGE, early, late)
+            pair = np.unique(np.concatenate([base[doc] + late, base[doc] + early]) * v + np.concatenate([term[known], term[known]]))
+            passage, term = pair // v, pair % v
+            reach = np.bincount(passage, self.most[term], minlength=int(count.sum()))
+            pivot = reach >= self.threshold.min() * (1 - 1e-9)
+            live, place = np.flatnonzero(pivot), np.cumsum(pivot) - 1
+            kept = pivot[passage]
+            passage, term = place[passage[kept]], term[kept]
+            for lo in range(0, len(live), PASSAGES_AT_ONCE):
+                hi = min(len(live), lo + PASSAGES_AT_ONCE)
+                a, b = np.searchsorted(passage, [lo, hi])
+                p, item, score = self._score(passage[a:b] - lo, term[a:b], hi - lo)
+                hits.append((live[p + lo], item, score))
+        if not any(len(h[0]) for h in hits):
+            return (*[np.zeros(0, np.int64)] * 2, np.zeros(0), *[np.zeros(0, np.int64)] * 2)
+        passage, item, score = (np.concatenate(x) for x in zip(*hits, strict=True))
+        doc = np.searchsorted(base + count, passage, "right")
+        pair, first, back = np.unique(doc * n + item, return_index=True, return_inverse=True)
+        best, lowest, highest = np.zeros(len(pair)), np.full(len(pair), 1 << 62), np.zeros(len(pair), np.int64)
+        back, passage = back.reshape(-1), passage - base[doc]
+        np.maximum.at(best, back, score)
+        np.minimum.at(lowest, back, passage)
+        np.maximum.at(highest, back, passage)
+        return doc[first], item[first], best, lowest, highest
+
+    def _score(self, passage: np.ndarray, term: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, score) of the items that reach their threshold in one of `total` passages, whose terms are given."""
+        n = len(self.ids)
         dense = self.common[term] >= 0
-        terms = np.zeros((total, len(self.dense)), np.float32)
+        terms = np.zeros((total, len(self.dense)))
         terms[passage[dense], self.common[term[dense]]] = 1
         rare_p, rare_t = passage[~dense], term[~dense]
         many = np.diff(self.top_at)[rare_t]
         at = expand(self.top_at[rare_t], many)
         bound = terms @ self.dense_max + np.bincount(np.repeat(rare_p, many) * self.blocks + self.top_block[at], self.top[at], minlength=total * self.blocks).reshape(total, self.blocks)
-        alive = bound >= self.block_threshold * (1 - 1e-5)
-        some = alive.any(axis=1)
-        if not some.any():
-            return none
-        keep = some[rare_p]
+        alive = bound >= self.block_threshold * (1 - 1e-9)
+        keep = alive.any(axis=1)[rare_p]
         rare_p, rare_t = rare_p[keep], rare_t[keep]
         many = np.diff(self.at)[rare_t]
         at = expand(self.at[rare_t], many)
         p, item, impact = np.repeat(rare_p, many), self.item[at], self.impact[at]
         keep = alive[p, item // BLOCK]
         p, item, impact = p[keep], item[keep], impact[keep]
-        where, scored = [], []
-        owner = np.repeat(np.arange(len(count)), count)
-        block_of = item // BLOCK
-        order = np.argsort(block_of, kind="stable")
+        order = np.argsort(item // BLOCK, kind="stable")
         p, item, impact = p[order], item[order], impact[order]
-        cut = np.searchsorted(block_of[order], np.arange(self.blocks + 1))
+        cut = np.searchsorted(item // BLOCK, np.arange(self.blocks + 1))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for b in np.flatnonzero(alive.any(axis=0)):
             rows = np.flatnonzero(alive[:, b])
             lo, hi = b * BLOCK, min(n, (b + 1) * BLOCK)
-            score = terms[rows] @ self.dense[:, lo:hi]
             s = slice(cut[b], cut[b + 1])
+            score = terms[rows] @ self.dense[:, lo:hi]
             score = score + np.bincount(np.searchsorted(rows, p[s]) * (hi - lo) + item[s] - lo, impact[s], minlength=len(rows) * (hi - lo)).reshape(len(rows), hi - lo)
-            r, c = np.nonzero(score >= self.threshold[lo:hi] * (1 - 1e-5))
-            where.append(owner[rows[r]] * n + lo + c)
-            scored.append(score[r, c])
-        where, scored = np.concatenate(where), np.concatenate(scored)
-        pair, back = np.unique(where, return_inverse=True)
-        best = np.zeros(len(pair))
-        np.maximum.at(best, back.reshape(-1), scored)
-        return pair // n, pair % n, best
+            r, c = np.nonzero(score >= self.threshold[lo:hi] * (1 - 1e-9))
+            found.append((rows[r], lo + c, score[r, c]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def leaks(self, words: Words) -> list[tuple[int, int, float, float, float]]:
-        """(document, item_id, score, question overlap, answer overlap) of the verified items."""
-        out, own, grams = [], -1, np.zeros(0, np.uint64)
-        for doc, item, score in zip(*self.retrieve(words), strict=True):
-            if doc != own:
-                own, (a, b) = doc, words.pointers[doc : doc + 2]
-                sizes = {min(SHINGLE, b - a)} | {len_ for len_ in range(1, SHINGLE)}
-                grams = {k: np.unique(words.spans(np.arange(a, b - k + 1), np.arange(a, b - k + 1) + k)) for k in sizes if b - a >= k}
-            q = self._found(item, self.question, grams)
-            a_ = self._found(item, self.answer, grams)
-            if q >= OVERLAP and a_ >= OVERLAP:
-                out.append((int(doc), self.ids[item], float(score), q, a_))
+        """(document, item_id, score, question overlap, answer overlap) of the verified items.
+
+        Shingles are looked for from an item's length before the first passage that retrieved it to as much after the last.
+        """
+        out = []
+        for doc, item, score, first, last in zip(*self.located(words), strict=True):
+            a, b = words.pointers[doc : doc + 2]
+            a, b = max(a, a + first * STRIDE - self.length[item]), min(b, a + last * STRIDE + PASSAGE + self.length[item])
+            q, answer = (self._found(side[item], words, a, b) for side in (self.question, self.answer))
+            if q >= OVERLAP and answer >= OVERLAP:
+                out.append((int(doc), self.ids[item], float(score), q, answer))
         return out
 
     @staticmethod
-    def _found(item: int, side: list[np.ndarray], grams: dict[int, np.ndarray]) -> float:
-        wanted = side[item]
-        if not len(wanted):
-            return 1.0
-        return max(float(np.isin(wanted, g).mean()) for g in grams.values())
+    def _found(side: tuple[np.ndarray, int], words: Words, a: int, b: int) -> float:
+        """Share of the shingles of one side that stand in the words a..b; 1 where the side has none."""
+        wanted, k = side
+        at = np.arange(a, max(a, b - k + 1))
+        return float(np.isin(wanted, words.spans(at, at + k)).mean()) if len(wanted) else 1.0
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, h, c): c items of the part have the term h; h is null in a row with the part's words."""
+    for batch in batches:
+        part = np.asarray(batch.column("part").cast(pa.int64()))
+        for row, end, data, offsets in chunks(batch.column("t")):
+            w = _words(data, offsets)
+            pair = np.unique(np.stack([w.doc, w.hashes.view(np.int64)]), axis=1)
+            own = part[row:end]
+            k, c = np.unique(np.stack([own[pair[0]], pair[1]]), axis=1, return_counts=True)
+            null = np.append(np.zeros(len(c), bool), np.ones(end - row, bool))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(k[0], own)), pa.array(np.append(k[1], own), mask=null), pa.array(np.append(c, w.counts).astype(np.int64))], names=["part", "h", "c"])
+
+
+def _parted(items: DataFrame) -> Iterator[list[Index]]:
+    """The index in parts of about ITEMS_AT_ONCE items, PARTS_AT_ONCE of them at a time; items have part, i and t."""
+    counts = frames.checkpointed(frames.map_batches(items.select("part", "t"), _term_counts, "part long, h long, c long"))
+    n, total = counts.where("h is null").agg(F.count(F.lit(1)), F.sum("c")).first()
+    known = counts.where("h is not null")
+    df = known.groupBy("h").agg(F.sum("c").alias("df"))
+    df = frames.checkpointed(known.select("part", "h").distinct().join(df, "h"))
+    last = items.agg(F.max("part")).first()[0]
+    for lo in range(0, last + 1, PARTS_AT_ONCE):
+        near = F.col("part").between(lo, lo + PARTS_AT_ONCE - 1)
+        texts: dict[int, list] = {}
+        for row in items.where(near).collect():  # about ITEMS_AT_ONCE * PARTS_AT_ONCE items
+            texts.setdefault(row["part"], []).append((row["i"], row["t"]))
+        terms = df.where(near).toArrow()
+        part, h, c = (np.asarray(terms.column(x).combine_chunks()) for x in ("part", "h", "df"))
+        found = []
+        for k in sorted(texts):
+            hashes, freq = h[part == k].view(np.uint64), c[part == k]
+            order = np.argsort(hashes)
+            found.append(Index(sorted(texts[k]), Statistics(n, total / n, hashes[order], freq[order])))
+        yield found
+    frames.forget(counts, df)
 
 
 _LEAKS = "array<struct<item_id:bigint,score:double,question:double,answer:double>>"
 _TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", out: str = "leaks", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """`docs` with one more column `out`: the test items found in each text, by item_id, with BM25 score and overlaps.
+def _search(frame: DataFrame, indexes: list[Index], text: str, out: str, schema) -> DataFrame:
+    """One pass over the documents with some parts of the index; what they find is added to the lists."""
+    shared = frame.sparkSession.sparkContext.broadcast(indexes)  # bounded: see _parted
 
-    A null or empty text holds no item.  Items with a null id, or a null or wordless text, match nothing.  Repeated items
-    each count.  Without items every list is empty.  A column of docs named `out` is replaced; others keep their values.
-    No shuffle; rows are independent.  Items come to the driver in blocks of ITEMS_AT_ONCE, each searched in a pass.
-    """
-    spark = docs.sparkSession
-    kept = [c for c in docs.columns if c != out]
-    found = docs.select(*[F.col(f"`{c}`") for c in kept], docs[text].cast("string").alias("__text"), F.lit(None).cast(_LEAKS).alias(out))
-    schema_of = found.schema
-    block: list[tuple[int, str]] = []
-
-    def search(frame: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Index(sorted(block)))  # at most ITEMS_AT_ONCE items
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                place = batch.schema.get_field_index(out)
-                lists = [x or [] for x in batch.column(place).to_pylist()]
-                for row, _, data, offsets in chunks(batch.column("__text")):
-                    for doc, item, score, q, a in shared.value.leaks(_words(data, offsets)):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index(out)
+            lists = [x or [] for x in batch.column(place).to_pylist()]
+            for row, _, data, offsets in chunks(batch.column(text)):
+                words = _words(data, offsets)
+                for index in shared.value:
+                    for doc, item, score, q, a in index.leaks(words):
                         lists[row + doc].append({"item_id": item, "score": score, "question": q, "answer": a})
-                yield batch.set_column(place, pa.field(out, _TYPE), pa.array(lists, _TYPE))
+            yield batch.set_column(place, pa.field(out, _TYPE), pa.array(lists, _TYPE))
 
-        return frames.map_batches(frame, run, schema_of)
+    return frames.map_batches(frame, run, schema)
 
-    for row in items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).toLocalIterator():
-        block.append((row["i"], row["t"]))
-        if len(block) == ITEMS_AT_ONCE:
-            found, block = search(found, block), []
-    if block:
-        found = search(found, block)
-    return found.drop("__text").withColumn(out, F.coalesce(out, F.array().cast(_LEAKS)))
+
+def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", out: str = "leaks", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """`docs` with one more column `out`: the test items found in each text, by item_id, with BM25 score and overlaps.
+
+    A null or empty text holds no item.  Items with a null id, or a null or wordless text, match nothing; items that are
+    equal in id and text count once, also in the statistics; equal ids with different texts are different items.  An item
+    without an answer sign has no answer part (overlap 1).  Without items, or without documents, every list is empty.  A
+    column of docs named `out`, in any case, is replaced; others keep their values, whatever their names.
+
+    No shuffle of documents; rows are independent.  Items come to the driver PARTS_AT_ONCE parts at a time, each time
+    searched in a pass.
+    """
+    kept = [c for c in docs.columns if c.lower() != out.lower()]
+    own = frames.fresh_name([*docs.columns, out], "text")
+    found = docs.select(*[docs[f"`{c}`"] for c in kept], docs[text].cast("string").alias(own), F.lit(None).cast(_LEAKS).alias(out))
+    schema = found.schema
+    items = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").distinct()
+    n = items.count()
+    if n:
+        items = items.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(max(1, round(n / ITEMS_AT_ONCE)))))
+        for indexes in _parted(frames.checkpointed(items)):
+            found = _search(found, indexes, own, out, schema)
+    return found.drop(own).withColumn(out, F.coalesce(out, F.array().cast(_LEAKS)))
