@@ -4,12 +4,14 @@ Each document draws an exponential key, -ln(u) / w, with u from a hash of its id
 ascending order of keys, a source's documents are a weighted sample without replacement of every size.  A source's target
 is met by whole epochs first, and by a prefix of that order for the rest: the last document is taken in part.
 
-Prefix sums don't gather a source in one task: keys are cut into buckets of about BUCKET_ROWS documents, sums of buckets
-are added up first, and windows run inside buckets only.
+Prefix sums don't gather a source in one task: rows are cut into ranges of (source, key), as many rows in each whatever
+their weights, sources and ties; sums of buckets, the ranges' parts of one source, are added up first, and windows run
+inside buckets only.  Only numbers move.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,9 @@ from casegrain.llm.textkit import SPACE, word_chunks
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
-BUCKET_ROWS = 2_000
+BUCKET_ROWS = 100_000  # and no fewer buckets than shuffle partitions
+#: Their table is broadcast up to so many sources.
+FEW_SOURCES = 100_000
 #: Bytes that begin a code point other than white space, and those of ASCII punctuation.
 _FIRST = ~SPACE & ((np.arange(256) & 0xC0) != 0x80)
 _MARK = np.zeros(256, dtype=bool)
@@ -85,15 +89,19 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), uniform(F.col(doc_id), t).alias("u"), t.alias("text"))
     sized = frames.map_batches(rows, measured, "doc_id long, source string, u double, size long, weight double")
     sized = sized.select("doc_id", "source", "size", (-F.log("u") / F.col("weight")).alias("key"))
-    sized = frames.checkpointed(sized)
-    goal = targets(sized).select(F.col("source").alias("s"), "source_size", "source_rows", "target")
-    parts = F.ceil(F.col("source_rows") / F.lit(BUCKET_ROWS))
-    rows = sized.join(F.broadcast(goal), sized["source"].eqNullSafe(goal["s"])) if goal.count() <= 100_000 else sized.join(goal, sized["source"].eqNullSafe(goal["s"]))
-    rows = rows.withColumn("bucket", F.floor(parts * (1 - F.exp(-F.col("key")))).cast("long"))
-    sums = rows.groupBy("s", "bucket").agg(F.sum("size").alias("n"))
-    start = sums.select(F.col("s").alias("s2"), F.col("bucket").alias("b2"), F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    rows = rows.join(start, rows["s"].eqNullSafe(start["s2"]) & (rows["bucket"] == start["b2"]))
-    inside = Window.partitionBy("s", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    sized = frames.checkpointed(sized.withColumn("tie", F.monotonically_increasing_id()))
+    goals = targets(sized)
+    total = goals.agg(F.count(F.lit(1)), F.sum("source_rows")).first()
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((total[1] or 0) / BUCKET_ROWS))
+    order = ["key", "doc_id", "size", "tie"]
+    ranged = frames.checkpointed(sized.repartitionByRange(buckets, "source", *order).withColumn("bucket", F.spark_partition_id()))
+    sums = ranged.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    start = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    goal = goals.select(F.col("source").alias("g"), "source_size", "target")
+    start = start.join(F.broadcast(goal) if total[0] <= FEW_SOURCES else goal, start["s"].eqNullSafe(goal["g"])).drop("g")
+    rows = ranged.join(start, (ranged["bucket"] == start["b"]) & ranged["source"].eqNullSafe(start["s"]))
+    inside = Window.partitionBy("bucket", "source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     words = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long")
