@@ -4,7 +4,10 @@
 in clean ones, from a bounded sample of labelled rows.  `score_toxicity` looks every distinct token of a text up in the
 trie of terms: a Levenshtein automaton of the token runs over the trie, so exact, inflected and misspelled terms are found in
 one walk.  Each hit is weighed by its context window: inside quotation marks, or after a word of reporting, it is a
-quotation rather than abuse.  A logistic regression on the counts of hits by kind gives the score.
+quotation rather than abuse.  A logistic regression on the counts of hits by kind gives the score; where the sample says
+nothing of misspelled or quoted hits, they weigh a set share of what a word does.
+
+Texts are counted and met on the executors; the driver gets the lexicon and four numbers for each row of the sample.
 """
 
 from __future__ import annotations
@@ -28,7 +31,11 @@ WINDOW = 6
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’‹›…–—¿¡"
 _OPEN = re.compile(r"^[\"'“„«‘‹]")
 _CLOSE = re.compile(r"[\"'”“»’›][.,;:!?]*$")
-#: Words of reporting speech: a term soon after one is reported, not used.
+#: Share of a used word's weight that a misspelled hit, and a quoted one, has unless the sample says otherwise.
+MISSPELT_SHARE, QUOTED_SHARE = 0.75, 0.25
+#: Tokens of fewer letters are met exactly only: within one edit of three letters stands half a language.
+SHORTEST = 4
+#: Words of reporting speech, a parameter of `fit`: a term soon after one is reported, not used.
 REPORTING = frozenset("said says quote quoted quotes wrote called term word saying sagte schrieb nannte wort zitat dit écrit mot terme appelé dijo escribió palabra término llamó".split())
 #: So many tokens, and moves of the automaton, are kept at most; then they are met anew.
 _CACHE, _MOVES = 1 << 16, 1 << 18
@@ -42,8 +49,8 @@ class Trie:
     a dictionary look-up a letter, and most tokens die after a few.
     """
 
-    def __init__(self, edits: int = 1):
-        self.edits = edits
+    def __init__(self, edits: int = 1, shortest: int = SHORTEST):
+        self.edits, self.shortest = edits, shortest
         self.children: list[dict[str, int]] = [{}]
         self.kind: list[int] = [0]
         self.moves: dict[tuple[frozenset, str], frozenset] = {}
@@ -101,7 +108,7 @@ class Trie:
                 return 1
         if stem:
             return 2
-        if len(token) < 4:
+        if len(token) < self.shortest:
             return 0
         moves = self.moves
         states = moves.get((frozenset(), ""))
@@ -129,14 +136,21 @@ class Model:
     stems: list[str]
     plain: frozenset[str]  # words of clean texts, which are no misspellings
     weights: np.ndarray
+    edits: int = 1
+    shortest: int = SHORTEST
+    reporting: frozenset[str] = REPORTING
 
     def __post_init__(self) -> None:
-        self.trie, self.cache = Trie(), {}
+        self.trie, self.cache = Trie(self.edits, self.shortest), {}
         for w in self.words:
             self.trie.add(w, 4 if any(w.startswith(s) for s in self.stems) else 1)
         for w in self.stems:
             self.trie.add(w, 2)
 
+    def parts(self) -> tuple:
+        """What Model() takes to make it again."""
+        return self.words, self.stems, self.plain, self.weights, self.edits, self.shortest, self.reporting
+
     def kind(self, token: str) -> int:
         found = self.cache.get(token)
         if found is None:
@@ -158,76 +172,149 @@ class Model:
         if hits:
             for i, t in enumerate(tokens):
                 if t in hits:
-                    counts[3 if quoted(tokens, i) else self.kind(t) - 1] += 1
+                    counts[3 if quoted(tokens, i, reporting=self.reporting) else self.kind(t) - 1] += 1
         return [float(np.log1p(c)) for c in counts]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
 
 
-def quoted(tokens: list[str], i: int, window: int = WINDOW) -> bool:
+def quoted(tokens: list[str], i: int, window: int = WINDOW, reporting: frozenset[str] = REPORTING) -> bool:
     """Whether the token stands in quotation marks that open and close within the window, or soon after a word of reporting."""
     near = tokens[max(0, i - window) : i + 1]
     opened = any(_OPEN.search(t) for t in near)
     closed_before = any(_CLOSE.search(t) for t in near[:-1])
     if opened and not closed_before and any(_CLOSE.search(t) for t in tokens[i : i + window]):
         return True
-    return any(t.strip(_EDGE) in REPORTING for t in near[:-1])
+    return any(t.strip(_EDGE) in reporting for t in near[:-1])
 
 
-def learn(rows: list[tuple[int, str]]) -> Model:
-    """The model from (label, text) rows; without rows of both classes every score is the share of toxic rows."""
-    n = [sum(1 for y, _ in rows if y == k) for k in (0, 1)]
-    df: list[Counter] = [Counter(), Counter()]
-    for y, text in rows:
-        df[y].update({t.strip(_EDGE) for t in text.lower().split()})
-    if not all(n):
-        share = float(np.clip(n[1] / max(1, sum(n)), 0.001, 0.999))
-        return Model([], [], frozenset(), np.array([np.log(share / (1 - share)), 0, 0, 0, 0]))
-    telling = lambda p, q, least, times: p >= max(least, 0.01 * n[1]) and p / n[1] >= times * (q + 0.1) / n[0]
-    starts: list[Counter] = [Counter(), Counter()]
-    for y, text in rows:
-        bare = {t.strip(_EDGE) for t in text.lower().split()}
-        starts[y].update({w[:k] for w in bare for k in range(4, min(len(w), 9))})
-    likely = {s for s, c in starts[1].items() if telling(c, starts[0][s], max(5, 0.03 * n[1]), 50)}
-    forms: dict[str, int] = Counter()
-    for w, c in df[1].items():
-        if c > 1:
-            forms.update(w[:k] for k in range(4, min(len(w), 9)) if w[:k] in likely)
-    stems: set[str] = set()
-    for s in sorted(likely, key=lambda s: (len(s), s)):
-        if forms[s] >= 3 and not any(s.startswith(t) for t in stems):
-            stems.add(s)
-    words = {w for w, c in df[1].items() if len(w) > 2 and telling(c, df[0][w], 4, 20)}  # forms of stems too, for their misspellings
-    plain = frozenset(w for w, c in df[0].items() if c >= 2)
-    model = Model(sorted(words), sorted(stems), plain, np.zeros(5))
-    x = np.array([[1.0, *model.features(text)] for _, text in rows])
-    y = np.array([y for y, _ in rows], float)
-    w = np.zeros(5)
-    for _ in range(50):  # Newton steps of a ridge-penalised logistic regression
+def _terms(text: str) -> tuple[set[str], set[str]]:
+    """The distinct bare words of a text, and their beginnings of 4 to 8 letters that are shorter than a word."""
+    bare = {t.strip(_EDGE) for t in text.lower().split()}
+    return bare, {w[:k] for w in bare for k in range(4, min(len(w), 9))}
+
+
+def _telling(toxic, clean, n: tuple[int, int], least: float, times: float):
+    """Whether a term of so many toxic and clean rows is that much likelier in toxic ones; numbers or columns."""
+    return (toxic >= max(least, 0.01 * n[1])) & (toxic / n[1] >= times * (clean + 0.1) / n[0])
+
+
+def _likely(toxic, clean, n: tuple[int, int]):
+    return _telling(toxic, clean, n, max(5, 0.03 * n[1]), 50)
+
+
+def _stems(forms: dict[str, int]) -> list[str]:
+    """Beginnings that three or more inflected forms share, the shortest of those that hold each other."""
+    out: set[str] = set()
+    for s in sorted(forms, key=lambda s: (len(s), s)):
+        if forms[s] >= 3 and not any(s[:k] in out for k in range(4, len(s))):
+            out.add(s)
+    return sorted(out)
+
+
+def _weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Newton steps of a logistic regression; the penalty draws misspelled and quoted hits to their shares of a word's weight."""
+    x = np.hstack([np.ones((len(x), 1)), x])
+    away = np.eye(5)
+    away[3, 1], away[4, 1] = -MISSPELT_SHARE, -QUOTED_SHARE
+    penalty, w = 0.1 * away.T @ away, np.zeros(5)
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(5), x.T @ (y - p) - 0.1 * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    model.weights = w
+    return w
+
+
+def _constant(n: tuple[int, int]) -> Model:
+    """Without rows of both classes every score is the share of toxic rows."""
+    share = float(np.clip(n[1] / max(1, sum(n)), 0.001, 0.999))
+    return Model([], [], frozenset(), np.array([np.log(share / (1 - share)), 0, 0, 0, 0]))
+
+
+def learn(rows: list[tuple[int, str]], **settings) -> Model:
+    """The model from (label, text) rows: what `fit` does, in one process; settings are the Model's edits, shortest and reporting."""
+    n = tuple(sum(1 for y, _ in rows if y == k) for k in (0, 1))
+    if not all(n):
+        return _constant(n)
+    words, starts = (Counter(), Counter()), (Counter(), Counter())
+    for y, text in rows:
+        bare, begin = _terms(text)
+        words[y].update(bare)
+        starts[y].update(begin)
+    likely = {s for s, c in starts[1].items() if _likely(c, starts[0][s], n)}
+    forms = Counter(w[:k] for w, c in words[1].items() if c > 1 for k in range(4, min(len(w), 9)) if w[:k] in likely)
+    lexicon = sorted(w for w, c in words[1].items() if len(w) > 2 and _telling(c, words[0][w], n, 4, 20))  # forms of stems too, for their misspellings
+    plain = frozenset(w for w, c in words[0].items() if c >= 2)
+    model = Model(lexicon, _stems(forms), plain, np.zeros(5), **settings)
+    model.weights = _weights(np.array([model.features(text) for _, text in rows]), np.array([y for y, _ in rows], float))
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from at most `rows` labelled rows of each class, never from held-out ones."""
-    found = sample(docs, labels, "toxic", rows).orderBy("__id", "text").collect()
-    return learn([(r["y"], r["text"]) for r in found])
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, start, toxic, clean): in how many rows of a batch of the sample each term is."""
+    for batch in batches:
+        found: dict[tuple[str, bool], list[int]] = {}
+        for y, text in zip(batch.column("y").to_pylist(), batch.column("text"), strict=True):
+            for start, terms in enumerate(_terms(text.as_py())):
+                for t in terms:
+                    found.setdefault((t, bool(start)), [0, 0])[y] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([s for _, s in found], pa.bool_()), pa.array([c[1] for c in found.values()], pa.int64()), pa.array([c[0] for c in found.values()], pa.int64())], names=["term", "start", "toxic", "clean"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, **settings) -> Model:
+    """Learn from at most `rows` labelled rows of each class, never from held-out ones; the same model as `learn` of those rows.
+
+    Settings are the Model's edits, shortest and reporting.
+    """
+    spark = docs.sparkSession
+    found = frames.checkpointed(sample(docs, labels, "toxic", rows))
+    by_class = {r["y"]: r["count"] for r in found.groupBy("y").count().collect()}
+    n = by_class.get(0, 0), by_class.get(1, 0)
+    if not all(n):
+        return _constant(n)
+    counted = frames.map_batches(found.select("y", "text"), _counted, "term string, start boolean, toxic long, clean long")
+    counted = frames.checkpointed(counted.groupBy("term", "start").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    toxic, clean = F.col("toxic"), F.col("clean")
+    words = counted.where("not start")
+    likely = counted.where("start").where(_likely(toxic, clean, n)).select("term")
+    begin = F.explode(F.transform(F.sequence(F.lit(4), F.least(F.length("term"), F.lit(9)) - 1), lambda k: F.substring("term", F.lit(1), k)))
+    forms = words.where((toxic > 1) & (F.length("term") > 4)).select(begin.alias("term")).join(likely, "term").groupBy("term").count().where("count >= 3").collect()
+    lexicon = words.where((F.length("term") > 2) & _telling(toxic, clean, n, 4, 20)).select("term").collect()
+    model = Model(sorted(r["term"] for r in lexicon), _stems({r["term"]: r["count"] for r in forms}), frozenset(), np.zeros(5), **settings)
+    parts = spark.sparkContext.broadcast(model.parts())  # bounded by the sample
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = Model(*parts.value).trie
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([t for t in batch.column("term").to_pylist() if trie.find(t) == 3], pa.string())], names=["term"])
+
+    plain = frames.map_batches(words.where(clean >= 2).select("term"), near, "term string").collect()  # the others are no hits anyway
+    model = Model(*model.parts()[:2], frozenset(r["term"] for r in plain), *model.parts()[3:])
+    shared = spark.sparkContext.broadcast(model.parts())
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        for batch in batches:
+            x = np.array([own.features(t.as_py()) for t in batch.column("text")]).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([batch.column("y"), *[pa.array(c) for c in x.T]], names=["y", "w", "s", "m", "q"])
+
+    x = frames.map_batches(found.select("y", "text"), hits, "y int, w double, s double, m double, q double").orderBy("y", "w", "s", "m", "q").toArrow()
+    model.weights = _weights(np.stack([np.asarray(x.column(c)) for c in "wsmq"], axis=1), np.asarray(x.column("y"), float))
+    frames.forget(found, counted)
+    return model
 
 
-def _scorer(spark, model: Model, schema: pa.Schema):
-    shared = spark.sparkContext.broadcast((model.words, model.stems, model.plain, model.weights))  # bounded by the sample
+def _scorer(spark, model: Model, schema: pa.Schema, text: str):
+    shared = spark.sparkContext.broadcast(model.parts())  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            x = np.array([own.features(t.as_py()) for t in batch.column("__text")]).reshape(-1, 4)
-            columns = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "__text"]
+            x = np.array([own.features(t.as_py()) for t in batch.column(text)]).reshape(-1, 4)
+            columns = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != text]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(own.scores(x))], schema=schema)
 
     return run
@@ -239,11 +326,12 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", score: str
     Only the text is an input of the score.  A null or empty text has no hits and gets the score of such texts.  Columns
     of docs named like the new ones are replaced; others keep their values.  No shuffle; rows are independent.
     """
-    kept = [c for c in docs.columns if c not in (score, "predicted")]
-    frame = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("__text", docs[text].cast("string"))
-    out = frame.drop("__text").withColumn(score, F.lit(0.0))
+    kept = [c for c in docs.columns if c.lower() not in (score.lower(), "predicted")]
+    own = frames.fresh_name([*docs.columns, score, "predicted"], "text")
+    frame = docs.select(*[docs[f"`{c}`"] for c in kept], docs[text].cast("string").alias(own))
+    out = frame.drop(own).withColumn(score, F.lit(0.0))
     schema = _arrow(out)
-    return frames.map_batches(frame, _scorer(docs.sparkSession, model, schema), out.schema).withColumn("predicted", (F.col(score) >= threshold).cast("int"))
+    return frames.map_batches(frame, _scorer(docs.sparkSession, model, schema, own), out.schema).withColumn("predicted", (F.col(score) >= threshold).cast("int"))
 
 
 def _arrow(frame: DataFrame) -> pa.Schema:
