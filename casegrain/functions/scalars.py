@@ -24,21 +24,22 @@ CATEGORIES = {
     "forensic": "e01 l01 ad1 dd dmg iso img mem vmdk vhd vhdx",
     "registry": "dat hiv",
 }
+# Categories whose files hold text.
 TEXT_CATEGORIES = ("text", "code", "config", "markup", "email", "document", "spreadsheet")
 # Artifact categories, first match wins.
 ARTIFACTS = (
-    ("Email & Calendar", "email mbox mail"),
-    ("Communication", "chat message sms call contact"),
-    ("Cloud", "cloud google dropbox onedrive icloud"),
-    ("Web", "web browser history bookmark cookie download"),
-    ("Documents", "document pdf csv text office"),
-    ("Media", "picture photo image video media audio"),
-    ("User Accounts", "user account login"),
-    ("Identifiers", "identifier device"),
-    ("File System", "file\u00a0system filesystem"),
-    ("Location", "gps location geo"),
-    ("Applications", "app install program"),
-    ("System", "registry system log"),
+    ("Email & Calendar", ("email", "mbox", "mail")),
+    ("Communication", ("chat", "message", "sms", "call", "contact")),
+    ("Cloud", ("cloud", "google", "dropbox", "onedrive", "icloud")),
+    ("Web", ("web", "browser", "history", "bookmark", "cookie", "download")),
+    ("Documents", ("document", "pdf", "csv", "text", "office")),
+    ("Media", ("picture", "photo", "image", "video", "media", "audio")),
+    ("User Accounts", ("user", "account", "login")),
+    ("Identifiers", ("identifier", "device")),
+    ("File System", ("file system", "filesystem")),
+    ("Location", ("gps", "location", "geo")),
+    ("Applications", ("app", "install", "program")),
+    ("System", ("registry", "system", "log")),
 )
 # Case-document name patterns, in order.
 DOCUMENT_TYPES = (
@@ -47,11 +48,78 @@ DOCUMENT_TYPES = (
     ("case_notes", r"(?i)(case|examiner|lab|investigation)[-_]notes?"),
     ("evidence_receipt", r"(?i)(evidence|property|item)[-_]receipt"),
 )
+# Patterns of case numbers and evidence ids.
 CASE_NUMBER, EVIDENCE_ID = r"(\d{2,4}[-_]?\d{2,6})", r"(?i)(?:EV|E|ITEM)[-_]?(\d+)"
+# Hexadecimal digits of each digest.
 HASH_LENGTHS = {"MD5": 32, "SHA-1": 40, "SHA-256": 64, "SHA-512": 128}
+# Time formats, in order.
 TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "yyyy-MM-dd", "dd-MM-yyyy")
 
 
+# Names of hash algorithms, and what else they are called.
+ALGORITHMS = {
+    "MD5": ("md5",),
+    "SHA-1": ("sha1", "sha-1"),
+    "SHA-256": ("sha256", "sha-256"),
+    "SHA-512": ("sha512", "sha-512"),
+    "BLAKE3": ("blake3",),
+    "BLAKE2b": ("blake2", "blake2b"),
+    "XXH3": ("xxh3", "xxhash3"),
+    "XXH64": ("xxh64", "xxhash64"),
+    "CRC32": ("crc32", "crc-32"),
+}
+# Text encodings by code.
+ENCODINGS = {1: "UTF-8", 2: "UTF-16 LE", 3: "UTF-16 BE", 4: "ASCII", 5: "Latin-1"}
+# Display types of containers by the end of a file's name; the first that fits counts.
+CONTAINER_TYPES = (
+    (".e01", "EnCase (E01)"),
+    (".ex01", "EnCase (Ex01)"),
+    (".l01", "L01"),
+    (".lx01", "Lx01"),
+    (".ad1", "AD1"),
+    (".aff", "AFF"),
+    (".aff4", "AFF4"),
+    (".dd", "Raw Image"),
+    (".raw", "Raw Image"),
+    (".img", "Raw Image"),
+    (".001", "Raw Image"),
+    (".ufd", "UFED (UFD)"),
+    (".ufdr", "UFED (UFDR)"),
+    (".7z", "7-Zip"),
+    (".zip", "ZIP"),
+    (".vmdk", "VMDK"),
+    (".vhd", "VHD"),
+    (".vhdx", "VHDX"),
+    (".qcow2", "QCOW2"),
+    (".iso", "ISO 9660"),
+    (".dmg", "DMG"),
+    (".rar", "RAR"),
+    (".r00", "RAR"),
+    (".tar.gz", "TAR.GZ"),
+    (".tgz", "TAR.GZ"),
+    (".tar.xz", "TAR.XZ"),
+    (".txz", "TAR.XZ"),
+    (".tar.bz2", "TAR.BZ2"),
+    (".tbz2", "TAR.BZ2"),
+    (".tar.zst", "TAR.ZSTD"),
+    (".tar.lz4", "TAR.LZ4"),
+    (".tar", "TAR"),
+    (".gz", "GZIP"),
+    (".xz", "XZ"),
+    (".bz2", "BZIP2"),
+    (".zst", "ZSTD"),
+    (".zstd", "ZSTD"),
+    (".lz4", "LZ4"),
+    (".vdi", "VDI"),
+    (".sparsebundle", "Apple Sparse Image"),
+    (".sparseimage", "Apple Sparse Image"),
+    (".s01", "SMART"),
+    (".s02", "SMART"),
+    (".bin", "BIN/CUE"),
+    (".cue", "BIN/CUE"),
+)
+
+
 def content_hash(c: Column, algorithm: str) -> Column:
     """Lower-case hex digest; md5, sha1, sha256, sha512 or crc32."""
     kind = algorithm.lower().replace("-", "")
@@ -77,8 +145,8 @@ def artifact_category(name: Column) -> Column:
     out = F.lit("Other")
     for kind, words in reversed(ARTIFACTS):
         found = F.lit(False)
-        for w in words.split(" "):
-            found = found | F.lower(name).contains(w.replace("\u00a0", " "))
+        for w in words:
+            found = found | F.lower(name).contains(w)
         out = F.when(found, kind).otherwise(out)
     return out
 
@@ -200,3 +268,122 @@ def csv_field(c: Column) -> Column:
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).otherwise(0.0)
+
+
+def algorithm_name(a: Column) -> Column:
+    """The display name of an algorithm under any of its names; null for others."""
+    out = F.lit(None).cast("string")
+    for name, others in ALGORITHMS.items():
+        out = F.when(F.lower(F.trim(a)).isin(*others), name).otherwise(out)
+    return out
+
+
+def container_type(name: Column) -> Column:
+    """Display type of a container by its file name; null for other files, and for .ufdx, which only points at others."""
+    low, out = F.lower(name), F.lit(None).cast("string")
+    for end, kind in reversed(CONTAINER_TYPES):
+        out = F.when(low.endswith(end), F.when(low.contains("logical"), "TAR (Logical)").otherwise(kind) if end == ".tar" else kind).otherwise(out)
+    return out
+
+
+def encoding_name(code: Column) -> Column:
+    out = F.concat(F.lit("Encoding-"), code.cast("string"))
+    for k, name in ENCODINGS.items():
+        out = F.when(code == k, name).otherwise(out)
+    return out
+
+
+def _sized(n: Column, plain: str, tail: Column) -> Column:
+    out = F.concat(n.cast("string"), F.lit(plain))
+    for unit, size in (("KB", 1 << 10), ("MB", 1 << 20), ("GB", 1 << 30), ("TB", 1 << 40)):
+        out = F.when(n >= size, F.concat(F.format_string(f"%.2f {unit}", F.bround(n.cast("double") / size, 2)), tail)).otherwise(out)
+    return out
+
+
+def size_text(n: Column) -> Column:
+    """Two decimals and the bytes: 1.43 MB (1500000 bytes)."""
+    return _sized(n, " bytes", F.concat(F.lit(" ("), n.cast("string"), F.lit(" bytes)")))
+
+
+def size_compact(n: Column) -> Column:
+    """Two decimals: 1.43 MB."""
+    return _sized(n, " bytes", F.lit(""))
+
+
+def normal_path(p: Column) -> Column:
+    """With a leading slash, without empty, `.` and `..` parts (each `..` takes the part before it, never the root)."""
+    parts = F.filter(F.split(F.trim(p), "/"), lambda x: (x != "") & (x != "."))
+    up = lambda kept, x: F.when(x == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(x)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/"))
+
+
+def join_path(base: Column, name: Column) -> Column:
+    b, n = normal_path(base), F.regexp_replace(name, "^/+|/+$", "")
+    return F.when(b == "/", F.concat(F.lit("/"), n)).otherwise(F.concat(b, F.lit("/"), n))
+
+
+def is_traversal(name: Column) -> Column:
+    """Whether a file name leaves its folder: `..` parts, absolute paths, drive letters, NUL, and their URL-encoded forms."""
+    parts = name.rlike(r"^\.\.$|^\.\.[/\\]|/\.\./|\\\.\.|/\.\.$")
+    return F.contains(name, F.lit("\x00")) | parts | name.rlike(r"^[/\\]|^[A-Za-z]:") | F.lower(name).rlike("%2e%2e|%2f|%5c")
+
+
+def safe_name(name: Column) -> Column:
+    """Separators become _, control and reserved characters go, and so do dots and spaces at the ends."""
+    clean = F.regexp_replace(name, r'[\x00-\x1f\x7f<>:"|?*]', "")
+    return F.regexp_replace(F.regexp_replace(clean, r"[/\\]", "_"), r"^[. ]+|[. ]+$", "")
+
+
+def hex_text(c: Column, spaced: bool = False, upper: bool = False) -> Column:
+    """Bytes as hexadecimal digits, with a space between bytes if wanted."""
+    out = F.hex(c) if upper else F.lower(F.hex(c))
+    return F.rtrim(F.regexp_replace(out, "(..)", "$1 ")) if spaced else out
+
+
+def parse_hex(c: Column) -> Column:
+    """Bytes of hexadecimal digits, spaces and line ends aside; null where it is none, or has half a byte."""
+    bare = F.regexp_replace(c, "[ \n\r]", "")
+    return F.when(bare.rlike("^([0-9A-Fa-f]{2})*$"), F.unhex(bare))
+
+
+def render_bytes(c: Column, most: int = 32) -> Column:
+    """Display text of a blob: its first bytes and its size."""
+    n = F.octet_length(c)
+    shown = F.concat(F.lit("[BLOB] "), hex_text(F.substring(c, 1, most), spaced=True))
+    return F.when(c.isNull(), "(NULL)").otherwise(F.concat(shown, F.when(n > most, " ... (").otherwise(" ("), n.cast("string"), F.lit(" bytes)")))
+
+
+def column_letter(i: Column) -> Column:
+    """A, B, ... Z, AA, ... ZZ, AAA, ... of 0, 1, ...; null below 0."""
+    letter = lambda n: F.char(65 + n)
+    one, two = i, i - 26
+    three = i - 26 - 26 * 26
+    return F.when(i < 0, None).when(i < 26, letter(one)).when(two < 26 * 26, F.concat(letter(F.floor(two / 26)), letter(two % 26))).otherwise(F.concat(letter(F.floor(three / 676)), letter(F.floor(three / 26) % 26), letter(three % 26)))
+
+
+def gps_decimal(lat: Column, lon: Column) -> Column:
+    return F.format_string("%.6f, %.6f", lat, lon)
+
+
+def gps_dms(lat: Column, lon: Column, lat_ref: Column, lon_ref: Column) -> Column:
+    """Degrees, minutes and seconds of two signed decimals, each with its reference letter."""
+
+    def one(x: Column, ref: Column) -> Column:
+        a = F.abs(x)
+        d = F.floor(a)
+        m = F.floor((a - d) * 60)
+        return F.concat(F.format_string("%d\u00b0%d'%.2f\"", d, m, (a - d - m / 60) * 3600), ref)
+
+    return F.concat(one(lat, lat_ref), F.lit("  "), one(lon, lon_ref))
+
+
+def at_path(doc: Column, path: str) -> Column:
+    """The value at a/b/0 of a JSON text, as text: keys of objects, places of lists; null where there is none."""
+    steps = "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in path.split("/") if p)
+    return F.get_json_object(doc, f"${steps}")
+
+
+def likely_text(c: Column) -> Column:
+    """More than 85 % printable ASCII among the first 1024 characters, and less than 100,000 bytes; empty is none."""
+    head = F.substring(c, 1, 1024)
+    return (F.length(c) > 0) & (F.octet_length(c) < 100_000) & (F.length(F.regexp_replace(head, r"[^\x20-\x7E\s]", "")) > 0.85 * F.length(head))

@@ -4,17 +4,35 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casegrain.operators.shared import written
 
-def diff(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """key, bucket (only_a, only_b, common, modified) and the changed fields; null-safe comparison of fields."""
-    x = a.select(key, F.struct(*fields).alias("a"))
-    y = b.select(key, F.struct(*fields).alias("b"))
-    both = x.join(y, key, "full_outer")
-    changed = F.filter(F.array(*[F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), F.lit(f)) for f in fields]), lambda f: f.isNotNull())
-    both = both.withColumn("bucket", F.when(F.col("b").isNull(), "only_a").when(F.col("a").isNull(), "only_b").when(F.size(changed) > 0, "modified").otherwise("common"))
+
+def _last(rows: DataFrame, keys: list[str], order: str | None, value: Column) -> DataFrame:
+    """keys and the value of the last row of each: the greatest by `order`, or by the value where no order is given."""
+    pick = F.max_by(value, F.col(order)) if order else F.max(value)
+    return rows.groupBy(*keys).agg(pick.alias("value"))
+
+
+def _sides(key: str) -> tuple[str, str]:
+    """Names for the two rows of a key that are not the key's own."""
+    return f"{key}_row_a", f"{key}_row_b"
+
+
+def diff(a: DataFrame, b: DataFrame, key: str, fields: list[str], order: str | None = None) -> DataFrame:
+    """key, both rows as structs, bucket (only_a, only_b, common, modified) and the changed fields; null-safe comparison.
+
+    Of B's rows with one key the last by `order` counts, and each of A's rows meets it.  Null keys meet each other.
+    """
+    left, right = _sides(key)
+    x = a.select(F.col(key).alias("key_a"), F.struct(*fields).alias(left))
+    y = _last(b, [key], order, F.struct(*fields)).select(F.col(key).alias("key_b"), F.col("value").alias(right))
+    both = x.join(y, x["key_a"].eqNullSafe(y["key_b"]), "full_outer")
+    both = both.select(F.when(F.col(left).isNull(), F.col("key_b")).otherwise(F.col("key_a")).alias(key), left, right)
+    changed = F.filter(F.array(*[F.when(~F.col(left)[f].eqNullSafe(F.col(right)[f]), F.lit(f)) for f in fields]), lambda f: f.isNotNull())
+    both = both.withColumn("bucket", F.when(F.col(right).isNull(), "only_a").when(F.col(left).isNull(), "only_b").when(F.size(changed) > 0, "modified").otherwise("common"))
     return both.withColumn("changed", F.when(F.col("bucket") == "modified", F.array_join(changed, ",")).otherwise(""))
 
 
@@ -25,15 +43,17 @@ def similarity(differences: DataFrame) -> DataFrame:
     return out.withColumn("similarity", F.when(F.col("a") + F.col("b") == 0, 100.0).otherwise(F.round(200.0 * F.col("common") / (F.col("a") + F.col("b")), 6)))
 
 
-def merge(a: DataFrame, b: DataFrame, key: str, fields: list[str], strategy: str) -> DataFrame:
+def merge(a: DataFrame, b: DataFrame, key: str, fields: list[str], strategy: str, order: str | None = None) -> DataFrame:
     """One table of two; strategy for keys with differing fields: PreferA, PreferB, KeepBoth, Skip (as PreferA) or Manual (left out)."""
-    d = diff(a, b, key, fields)
-    first = F.when((F.col("bucket") == "only_b") | ((F.col("bucket") == "modified") & F.lit(strategy == "PreferB")), F.col("b")).otherwise(F.col("a"))
+    left, right = _sides(key)
+    d = diff(a, b, key, fields, order)
+    first = F.when((F.col("bucket") == "only_b") | ((F.col("bucket") == "modified") & F.lit(strategy == "PreferB")), F.col(right)).otherwise(F.col(left))
     out = d.where(F.col("bucket") != "modified") if strategy == "Manual" else d
-    out = out.select(key, first.alias("v"))
+    out = out.select(key, first.alias(left))
     if strategy == "KeepBoth":
-        out = out.unionByName(d.where("bucket = 'modified'").select(F.concat(key, F.lit(" (from B)")).alias(key), F.col("b").alias("v")))
-    return out.select(key, "v.*")
+        second = d.where("bucket = 'modified'").select(F.concat(key, F.lit(" (from B)")).alias(key), F.col(right).alias(left))
+        out = out.unionByName(second.distinct())
+    return out.select(key, f"{left}.*")
 
 
 def first_wins(sources: list[DataFrame], keys: list[str], order: str) -> DataFrame:
@@ -56,14 +76,73 @@ def merge_users(rows: DataFrame) -> DataFrame:
     return rows.groupBy("username").agg(F.min("first_access").alias("first_access"), F.max("last_access").alias("last_access"), known("display_name").alias("display_name"), known("hostname").alias("hostname"))
 
 
-def insert_or_ignore(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return target.unionByName(new.join(target.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+def insert_or_ignore(target: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """target and the new rows whose key isn't there yet; of new rows with one key the first by `order` (the least row without one).
+
+    Keys with a null are never equal, as in a unique index: such rows all come in.
+    """
+    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    first = new.where(known).groupBy(*keys).agg((F.min_by(F.struct(*new.columns), order) if order else F.min(F.struct(*new.columns))).alias("row")).select("row.*")
+    added = first.join(target.select(*keys), keys, "left_anti").select(*new.columns).unionByName(new.where(~known))
+    return target.unionByName(added, allowMissingColumns=True)
+
+
+def upsert(target: DataFrame, new: DataFrame, key: str, columns: list[str], order: str | None = None) -> DataFrame:
+    """New non-null values replace old ones; rows that are only on one side stay.
+
+    Of new rows with one key the last by `order` counts.  Null keys meet each other.
+    """
+    n = _last(new, [key], order, F.struct(*columns)).select(F.col(key).alias("new_key"), F.col("value").alias("new_row"), F.lit(True).alias("is_new"))
+    both = target.join(n, target[key].eqNullSafe(n["new_key"]), "full_outer")
+    return both.select(F.coalesce(F.col(key), F.col("new_key")).alias(key), *[F.coalesce(F.col("new_row")[c], F.col(c)).alias(c) for c in columns])
+
+
+def sync_by_name(target: DataFrame, source: DataFrame, name: str, order: str, overwrite: bool) -> DataFrame:
+    """target with source's rows: the last of each name replaces all of that name, or the first of each missing name is added."""
+    pick = F.max_by if overwrite else F.min_by
+    rows = source.groupBy(name).agg(pick(F.struct(*source.columns), order).alias("row")).select("row.*").select(*source.columns)
+    if overwrite:
+        names = rows.select(F.col(name).alias("other_name"))
+        return target.join(names, target[name].eqNullSafe(names["other_name"]), "left_anti").unionByName(rows)
+    names = target.select(F.col(name).alias("other_name")).distinct()
+    return target.unionByName(rows.join(names, rows[name].eqNullSafe(names["other_name"]), "left_anti"))
 
 
-def upsert(target: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """New non-null values replace old ones; rows that are only on one side stay."""
-    n = new.select(key, *[F.col(c).alias(f"new_{c}") for c in columns])
-    return target.join(n, key, "full_outer").select(key, *[F.coalesce(f"new_{c}", c).alias(c) for c in columns])
+def union_distinct(sources: list[DataFrame], keys: list[str]) -> DataFrame:
+    """All sources' rows, one a key: the earliest source's (of one source the least row)."""
+    tagged = [s.select(F.lit(i).alias("source_ordinal"), F.struct(*s.columns).alias("row"), *keys) for i, s in enumerate(sources)]
+    first = reduce(DataFrame.unionByName, tagged).groupBy(*keys).agg(F.min(F.struct("source_ordinal", "row")).alias("m"))
+    return first.select("m.row.*")
+
+
+def all_paths(sources: list[DataFrame], column: str) -> DataFrame:
+    """The distinct values of a column over all sources."""
+    return reduce(DataFrame.unionByName, [s.select(column) for s in sources]).distinct()
+
+
+def delete_cascade(tables: dict[str, DataFrame], gone: DataFrame, links: list[tuple[str, str, str, str]]) -> dict[str, DataFrame]:
+    """The tables without the rows that `gone` (one column of ids of the first link's parent) takes along.
+
+    links are (parent, its key, child, its foreign key), parents before their children; a child's deleted rows are the
+    parents of its own links.  The first link's parent loses the given ids themselves.
+    """
+    root, key = links[0][0], links[0][1]
+    ids = gone.select(F.col(gone.columns[0]).alias("gone_id")).distinct()
+    lost = {root: tables[root].join(ids, F.col(key) == F.col("gone_id"), "left_semi")}
+    for parent, own, child, foreign in links:
+        dead = lost[parent].select(F.col(own).alias("gone_id")).distinct()
+        rows = tables[child].join(dead, F.col(foreign) == F.col("gone_id"), "left_semi")
+        lost[child] = lost[child].unionByName(rows) if child in lost else rows
+    out = {}
+    for name, table in tables.items():
+        out[name] = table
+        if name == root:
+            out[name] = table.join(ids, F.col(key) == F.col("gone_id"), "left_anti")
+        for parent, own, child, foreign in links:
+            if child == name:
+                dead = lost[parent].select(F.col(own).alias("gone_id")).distinct()
+                out[name] = out[name].join(dead, F.col(foreign) == F.col("gone_id"), "left_anti")
+    return out
 
 
 def remap_children(parents: DataFrame, children: DataFrame, natural: str, key: str, foreign: str) -> DataFrame:
@@ -102,12 +181,28 @@ def collection_conflicts(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, pairs).groupBy("current", "incoming").agg(F.min("why").alias("why")).select("current", "incoming", "why.reason")
 
 
+#: Letters of a text that must stand in another for the two to be compared.
+GRAM = 8
+
+
+def _inside(needles: DataFrame, needle: str, texts: DataFrame, text: str) -> DataFrame:
+    """Pairs of rows where the needle stands in the text."""
+    at = F.explode(F.sequence(F.lit(1), F.length(text)))
+    sizes = F.explode(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length(text) - F.col("at") + 1)))
+    grams = texts.select("*", at.alias("at")).select("*", sizes.alias("size"))
+    grams = grams.select(*texts.columns, F.substring(F.col(text), F.col("at"), F.col("size")).alias("gram")).distinct()
+    heads = needles.withColumn("gram", F.substring(F.col(needle), F.lit(1), F.lit(GRAM)))
+    return heads.join(grams, "gram").where(F.contains(text, needle))
+
+
 def link_evidence(items: DataFrame, files: DataFrame) -> DataFrame:
     """i, j, method and confidence of the files that four ordered passes link to items, each over what earlier ones left.
 
     Items have i (their order), file_id, item_number, serial and description; files have j, path, evidence_number, serial and
     filename.  The first pass takes the first file of that path, and a file may then serve several items; the others are
-    one-to-one in input order.  The last is by containment of one normalized text in the other, with a join of all pairs left.
+    one-to-one in input order.  The last is by containment of one normalized text in the other: pairs meet on the first
+    letters (GRAM at most) of the shorter one, wherever the longer one has them, and are then compared whole.  Texts without
+    letters match nothing.
     """
     normal = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     say = lambda d, method, confidence: d.select("i", "j", F.lit(method).alias("method"), F.lit(confidence).alias("confidence"))
@@ -119,13 +214,22 @@ def link_evidence(items: DataFrame, files: DataFrame) -> DataFrame:
         left = left.where(F.col(mine) != "").select(normal(mine).alias("key"), F.col("i").alias("o"))
         right = right.where(F.col(theirs) != "").select(normal(theirs).alias("key"), F.col("j").alias("o"))
         pairs = link_by_rank(left, right, "key", "o").select(F.col("o").alias("i"), F.col("o_right").alias("j"))
-        found.append(say(pairs, method, confidence).localCheckpoint())
+        found.append(written(say(pairs, method, confidence)))
     left, right = rest()
-    left, right = left.where("description <> ''").select("i", normal("description").alias("d")), right.select("j", normal("filename").alias("f"))
-    free = left.join(right, F.contains("d", "f") | F.contains("f", "d")).select("i", "j").localCheckpoint()
+    left, right = left.select("i", normal("description").alias("d")).where("d <> ''"), right.select("j", normal("filename").alias("f")).where("f <> ''")
+    free = written(_inside(left, "d", right, "f").unionByName(_inside(right, "f", left, "d")).select("i", "j").distinct())
     while not free.isEmpty():  # a pair that is the first of its item and of its file is what the greedy order takes
         of_item, of_file = free.groupBy("i").agg(F.min("j").alias("j")), free.groupBy("j").agg(F.min("i").alias("i"))
-        taken = of_item.join(of_file, ["i", "j"]).localCheckpoint()
+        taken = written(of_item.join(of_file, ["i", "j"]))
         found.append(say(taken, "filename", "low"))
-        free = free.join(taken.select("i"), "i", "left_anti").join(taken.select("j"), "j", "left_anti").localCheckpoint()
+        free = written(free.join(taken.select("i"), "i", "left_anti").join(taken.select("j"), "j", "left_anti"))
     return reduce(DataFrame.unionByName, found)
+
+
+def linked_data(collections: DataFrame, items: DataFrame, files: DataFrame) -> DataFrame:
+    """collection, item, file and state of every item: linked, or unlinked where its collection isn't there.
+
+    collections have collection; items have item and collection_id; files have item_id and file.
+    """
+    joined = items.join(collections, items["collection_id"] == collections["collection"], "left").join(files, items["item"] == files["item_id"], "left")
+    return joined.select("collection", "item", "file", F.when(F.col("collection").isNull(), "unlinked").otherwise("linked").alias("state"))

@@ -1,4 +1,4 @@
-"""Activity-timeline analytics over (id, ts, user, action): one scan and one aggregation each."""
+"""Activity-timeline analytics over (id, ts, user, action)."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ def dow(ts: Column) -> Column:
 
 
 def summary(log: DataFrame) -> DataFrame:
-    """Totals, first and last time, hours spanned (whole minutes), busiest day and hour (ties: the earliest); zeros and nulls on empty input."""
+    """In three scans: totals, first and last time, hours spanned (whole minutes), busiest day and hour (ties: the earliest); zeros and nulls on empty input."""
     day = log.where("ts is not null").groupBy(F.to_date("ts").alias("d")).count().agg(F.min_by("d", F.struct(-F.col("count"), F.col("d"))).alias("busiest_day"))
     hour = log.where("ts is not null").groupBy(F.hour("ts").alias("h")).count().agg(F.min_by("h", F.struct(-F.col("count"), F.col("h"))).alias("busiest_hour"))
     total = log.agg(F.count(F.lit(1)).alias("total"), F.count_distinct("user").alias("users"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
@@ -65,3 +65,22 @@ def trend(log: DataFrame) -> DataFrame:
     out = placed.agg(F.count(F.lit(1)).alias("days"), F.coalesce(a, F.lit(0.0)).alias("first_half"), F.coalesce(b, F.lit(0.0)).alias("second_half"), F.coalesce(F.avg("n") * 7, F.lit(0.0)).alias("weekly_avg"))
     word = F.when(F.col("days") < 2, "stable").when(F.col("first_half") < 0.01, F.when(F.col("second_half") > 0, "increasing").otherwise("stable")).when(F.col("second_half") > 1.2 * F.col("first_half"), "increasing").when(F.col("second_half") < 0.8 * F.col("first_half"), "decreasing").otherwise("stable")
     return out.withColumn("trend", word).withColumn("confidence", F.least(F.col("days") / 30.0, F.lit(1.0)))
+
+
+def per_session(log: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Activities, sessions, and activities for each session (for each of one, where there is none)."""
+    n, k = log.agg(F.count(F.lit(1)).alias("activities")), sessions.agg(F.count(F.lit(1)).alias("sessions"))
+    both = n.crossJoin(F.broadcast(k))  # one row each
+    return both.withColumn("mean_per_session", F.round(F.col("activities") / F.greatest("sessions", F.lit(1)), 6))
+
+
+def trend_by_type(log: DataFrame) -> DataFrame:
+    """Of each type its mean a day in the first and in the second half of the ordered days; a half without it counts 0."""
+    counts = daily_by_type(log)
+    days = counts.select("day").distinct()
+    placed = days.withColumn("i", F.row_number().over(Window.orderBy("day"))).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy()))  # a row a day
+    half = F.floor(F.col("k") / 2)
+    rows = counts.join(F.broadcast(placed), "day")
+    total = lambda cond: F.sum(F.when(cond, F.col("n")))
+    out = rows.groupBy("action").agg(total(F.col("i") <= half).alias("a"), total(F.col("i") > half).alias("b"), F.max("k").alias("k"))
+    return out.select("action", (F.coalesce("a", F.lit(0)) / F.nullif(half, F.lit(0))).alias("first_half"), (F.coalesce("b", F.lit(0)) / F.nullif(F.col("k") - half, F.lit(0))).alias("second_half"))

@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casegrain.functions import scalars as S
 from casegrain.operators import duplicates, metrics, reconcile, search, timeline
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
-
+from casegrain.plans import panel_queries, scalar_queries, search_queries, store_queries  # noqa: F401  (they register their queries)
+from casegrain.plans.registry import QUERIES, SQL, query  # noqa: F401
 
 def _log(t) -> DataFrame:
     return t("events").select(F.col("event_id").alias("id"), "ts", F.col("user_id").alias("user"), F.col("event_type").alias("action"))
@@ -256,7 +242,7 @@ def _(t): return t("documents").select("doc_id", S.render(F.col("text")).alias("
 
 
 @query("m06_path_rebase", "SELECT page_id, CASE WHEN starts_with(url, 'https://m.') THEN 'file:///case' || substr(url, length('https://m.') + 1) ELSE url END AS url FROM pages")
-def _(t): return t("pages").select("page_id", F.when(F.startswith("url", F.lit("https://m.")), F.concat(F.lit("file:///case"), F.substring("url", len("https://m.") + 1, 1 << 20))).otherwise(F.col("url")).alias("url"))
+def _(t): return t("pages").select("page_id", F.when(F.startswith("url", F.lit("https://m.")), F.concat(F.lit("file:///case"), F.substring("url", F.lit(len("https://m.") + 1), F.length("url")))).otherwise(F.col("url")).alias("url"))
 
 
 # ---- joins and aggregates of the case store ----------------------------------------------------

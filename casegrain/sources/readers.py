@@ -11,7 +11,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casegrain.functions import scalars as S
@@ -38,6 +38,12 @@ def magic_type(files: DataFrame) -> DataFrame:
     return files.select("path", mime.alias("mime"), kind.alias("kind"))
 
 
+def segment_parts(name: Column) -> tuple[Column, Column, Column]:
+    """stem, number and is_segment of a file name; null stem and number where it is no segment."""
+    number = F.regexp_extract(name, SEGMENT, 2).try_cast("int")
+    return F.when(number.isNotNull(), F.regexp_extract(name, SEGMENT, 1)).alias("stem"), number.alias("number"), number.isNotNull().alias("is_segment")
+
+
 def segments(files: DataFrame) -> DataFrame:
     """Multi-part sets: stem, parts, total size, and whether a part is missing."""
     name = S.file_name(F.col("path"))
@@ -123,6 +129,19 @@ def flatten_plist(spark: SparkSession, path: str) -> DataFrame:
     return _per_file(spark, path, lambda raw: list(walk(plistlib.loads(raw), "")), "path string, key_path string, value_type string, preview string")
 
 
+def companion_lines(lines: DataFrame, *kept: str) -> DataFrame:
+    """key, value, hash, algorithm and verified of each line (value) of an acquisition log; key and value are null unless both are there.
+
+    The algorithm is the one that the line names, else the one of the hash's length.
+    """
+    v = F.col("value")
+    key, text = F.trim(F.regexp_extract(v, r"^([^:]+):(.+)$", 1)), F.trim(F.regexp_extract(v, r"^([^:]+):(.+)$", 2))
+    found = F.nullif(F.regexp_extract(v, r"\b([a-fA-F0-9]{32,128})\b", 1), F.lit(""))
+    named = S.algorithm_name(F.regexp_extract(v, r"(?i)\b(MD5|SHA-?1|SHA-?256|SHA-?512)\b", 1))
+    both = (key != "") & (text != "")
+    return lines.select(*kept, F.when(both, key).alias("key"), F.when(both, text).alias("value"), found.alias("hash"), F.coalesce(named, S.guess_algorithm(found)).alias("algorithm"), F.lower(v).contains("verif").alias("verified"))
+
+
 def companion_log(lines: DataFrame) -> DataFrame:
     """Hashes and key: value pairs of acquisition logs, from (value) lines."""
     v = F.col("value")
