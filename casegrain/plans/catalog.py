@@ -218,8 +218,8 @@ def _(t):
 
 
 @query("s18_human_size", """
-SELECT o_orderkey, CASE WHEN b >= 1048576 THEN printf('%.1f MB', b / 1048576.0::DOUBLE) WHEN b >= 1024 THEN printf('%.1f KB', b / 1024.0::DOUBLE) ELSE b || ' B' END AS size
-FROM (SELECT o_orderkey, (o_orderkey * o_orderkey)::BIGINT AS b FROM orders WHERE o_orderkey < 30000)""")
+SELECT o_orderkey, CASE WHEN b >= 1073741824 THEN printf('%.1f GB', b / 1073741824.0::DOUBLE) WHEN b >= 1048576 THEN printf('%.1f MB', b / 1048576.0::DOUBLE) WHEN b >= 1024 THEN printf('%.1f KB', b / 1024.0::DOUBLE) ELSE b || ' B' END AS size
+FROM (SELECT o_orderkey, (o_orderkey * o_orderkey)::BIGINT AS b FROM orders)""")
 def _(t): return t("orders").select("o_orderkey", S.human_size(F.col("o_orderkey") * F.col("o_orderkey")).alias("size"))
 
 
