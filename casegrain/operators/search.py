@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casegrain.operators.shared import written
+
 K1, B = 1.2, 0.75
 
 
@@ -20,16 +22,27 @@ def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, doc_id: str, text: str, query: list[str]) -> DataFrame:
-    """(doc_id, score) of documents with any query term.  Only query terms are exploded, so postings stay small."""
-    wanted = F.array(*[F.lit(q) for q in sorted(set(query))])
-    t = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("ts"))
-    stats = t.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("ts")).alias("avgdl"))
-    hits = t.select("doc_id", F.size("ts").alias("dl"), F.explode(F.filter("ts", lambda x: F.array_contains(wanted, x))).alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # as many rows as query terms; one row
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy("doc_id").agg(F.sum(weight).alias("score"))
+    """(doc_id, score) of documents with any query term.
+
+    Texts are split once: each document's length and its counts of the query's terms are written, and all else is read there.
+    """
+    terms = sorted(set(query))
+    one = docs.select(F.explode(F.array(F.struct(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("ts")))).alias("d"))  # a generator keeps the split from being repeated
+    counts = F.array(*[F.size(_equal("d.ts", q)) for q in terms])
+    t = written(one.select("d.doc_id", F.size("d.ts").alias("dl"), counts.alias("tf")))
+    sums = [F.sum(F.when(F.get("tf", F.lit(i)) > 0, 1).otherwise(0)).alias(f"df_{i}") for i in range(len(terms))]
+    stats = t.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), *sums)
+    rows = t.where(F.exists("tf", lambda n: n > 0)).crossJoin(F.broadcast(stats))  # one row
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        df, tf = F.col(f"df_{i}"), F.get("tf", F.lit(i))
+        idf = F.log(1 + (F.col("n_docs") - df + 0.5) / (df + 0.5))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return rows.select("doc_id", score.alias("score"))
+
+
+def _equal(words: str, word: str) -> Column:
+    return F.filter(words, lambda x: x == word)
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casegrain.functions import scalars as S
 from casegrain.operators import duplicates, metrics, reconcile, search, timeline
-from casegrain.plans import panel_queries, scalar_queries, search_queries, store_queries  # noqa: F401  (they register their queries)
+from casegrain.plans import format_queries, panel_queries, scalar_queries, search_queries, store_queries  # noqa: F401  (they register their queries)
 from casegrain.plans.registry import QUERIES, SQL, query  # noqa: F401
 
 def _log(t) -> DataFrame:

@@ -5,16 +5,18 @@ from __future__ import annotations
 import email
 import email.policy
 import io
+import json
 import plistlib
 import tarfile
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrain.functions import scalars as S
+from casegrain.sources import formats
 
 # First bytes of some file types.
 MAGIC = (("25504446", "application/pdf", "document"), ("504B0304", "application/zip", "archive"), ("1F8B", "application/gzip", "archive"), ("377ABCAF271C", "application/x-7z-compressed", "archive"), ("526172211A07", "application/vnd.rar", "archive"), ("89504E470D0A1A0A", "image/png", "image"), ("FFD8FF", "image/jpeg", "image"), ("47494638", "image/gif", "image"), ("53514C69746520666F726D6174203300", "application/vnd.sqlite3", "database"), ("7F454C46", "application/x-elf", "executable"), ("4D5A", "application/x-dosexec", "executable"), ("455646090D0AFF00", "application/x-ewf", "forensic"), ("4144534547", "application/x-ad1", "forensic"))
@@ -52,10 +54,26 @@ def segments(files: DataFrame) -> DataFrame:
     return out.withColumn("complete", (F.col("first") <= 1) & (F.col("last") - F.col("first") + 1 == F.col("parts")))
 
 
-def read_table(spark: SparkSession, path: str, separator: str = ",", header: bool = False) -> DataFrame:
-    """A CSV or TSV with every cell as text and a row number; type a column's cells with `typed`."""
-    rows = spark.read.option("sep", separator).option("header", str(header).lower()).option("escape", '"').csv(path)
-    return rows.withColumn("row", F.monotonically_increasing_id())
+def read_table(spark: SparkSession, path: str, separator: str = ",", header: bool = False, first: int = 0, most: int | None = None) -> DataFrame:
+    """A CSV or TSV with every cell as text and its row number, 0, 1, ... in file order; `first` and `most` choose a window of rows.
+
+    Type a column's cells with `typed`.  Rows are numbered by the counts of the parts before theirs.
+    """
+    rows = spark.read.option("sep", separator).option("header", str(header).lower()).option("escape", '"').option("multiLine", "true").csv(path)
+    rows = numbered(rows, "row")
+    return rows if not first and most is None else rows.where((F.col("row") >= first) & (F.lit(most is None) | (F.col("row") < first + (most or 0))))
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows with contiguous numbers in the order in which they are read; only a count of each part comes to the driver."""
+    at = rows.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = {r["_part"]: r["count"] for r in at.groupBy("_part").count().collect()}  # a row a part
+    before, starts = 0, []
+    for part in sorted(counts):
+        starts.append((part, before))
+        before += counts[part]
+    table = rows.sparkSession.createDataFrame(starts, "_number int, _start long")
+    return at.join(F.broadcast(table), at["_part"] == table["_number"]).withColumn(name, F.col("_start") + F.col("_place")).drop("_part", "_place", "_number", "_start")
 
 
 def typed(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -167,5 +185,107 @@ def export_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def numbered(rows: DataFrame, order: str) -> DataFrame:
-    return rows.withColumn("rn", F.row_number().over(Window.orderBy(order)))
+def sqlite_overview(spark: SparkSession, path: str) -> DataFrame:
+    return _per_file(spark, path, lambda raw: list(formats.sqlite_overview(raw)), "path string, name string, kind string, n_rows long, n_columns long")
+
+
+def sqlite_columns(spark: SparkSession, path: str) -> DataFrame:
+    return _per_file(spark, path, lambda raw: list(formats.sqlite_columns(raw)), "path string, table string, position long, column string, type string, not_null boolean, default string, primary_key long, indexes array<string>, ddl string")
+
+
+def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """Cells of XLSX and ODS workbooks; `select distinct sheet` lists the sheets, a where on row and column reads a range."""
+
+    def rows(raw: bytes) -> list[dict]:
+        found = formats.ods_cells(raw) if b"opendocument.spreadsheet" in raw[:200] else formats.xlsx_cells(raw, sheet)
+        return [c for c in found if sheet in (None, c["sheet"])]
+
+    return _per_file(spark, path, rows, "path string, sheet string, row long, column long, type string, text string")
+
+
+def read_exif(spark: SparkSession, path: str) -> DataFrame:
+    names = [*formats.EXIF_TAGS.values()]
+    schema = "path string, " + ", ".join(f"{n} string" for n in names) + ", latitude double, longitude double"
+    return _per_file(spark, path, lambda raw: [found] if (found := formats.exif(raw)) is not None else [], schema)
+
+
+def read_programs(spark: SparkSession, path: str) -> DataFrame:
+    return _per_file(spark, path, lambda raw: [found] if (found := formats.program(raw)) is not None else [], "path string, format string, bits long, machine string, entry long, sections array<string>")
+
+
+def read_partitions(spark: SparkSession, path: str) -> DataFrame:
+    return _per_file(spark, path, lambda raw: list(formats.partitions(raw)), "path string, number long, scheme string, type string, start long, size long, label string, filesystem string")
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    return _per_file(spark, path, lambda raw: list(formats.registry_hive(raw)), "path string, key string, name string, type string, data string")
+
+
+#: The largest file whose text is extracted, and the longest text, in bytes.
+MOST_FILE, MOST_TEXT = 10 * 1024 * 1024, 256 * 1024
+# Extensions of files that are text as they are.
+PLAIN = frozenset("txt log md rst tex json xml yaml yml toml ini cfg conf env csv tsv html htm xhtml css scss less svg py js ts jsx tsx rs c cpp h java go rb php swift kt cs sh bat ps1 vbs pl r m sql readme changelog license".split())
+
+
+def _file_text(raw: bytes, extension: str) -> str:
+    if extension in PLAIN:
+        return raw.decode("utf-8", "replace")
+    if extension == "docx":
+        return formats.docx_text(raw)
+    if extension == "pdf":
+        return formats.pdf_text(raw)
+    if extension == "rtf":
+        return formats.rtf_text(raw)
+    if extension in ("eml", "mbox"):
+        m = _message(raw)
+        return f"Subject: {m['subject'] or ''}\nFrom: {m['sender'] or ''}\n{m['body'] or ''}"
+    if extension == "plist":
+        try:
+            return repr(plistlib.loads(raw))
+        except (plistlib.InvalidFileException, ValueError):
+            return raw.decode("utf-8", "replace")
+    head = raw[:1024]
+    likely = head and sum(33 <= b <= 126 or b in b" \t\n\r\x0c" for b in head) > 0.85 * len(head)
+    return raw.decode("utf-8", "replace") if likely and len(raw) < 100_000 else ""
+
+
+def extract_text(files: DataFrame) -> DataFrame:
+    """path and text of entries (path, is_dir, size, content) by extension.
+
+    Directories, files of categories without text and those over MOST_FILE have an empty text; a text is cut at MOST_TEXT
+    bytes, at a character's end.  Null contents are empty.
+    """
+    extension = S.extension(S.file_name(F.col("path")))
+    open_ = ~F.col("is_dir") & S.text_eligible(S.category(extension)) & (F.col("size") <= MOST_FILE)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [_file_text(bytes(raw), ext) if raw is not None else "" for raw, ext in zip(batch["raw"], batch["extension"], strict=True)]
+            yield pd.DataFrame({"path": batch["path"], "text": [t.encode()[:MOST_TEXT].decode("utf-8", "ignore") for t in texts]})
+
+    return files.select("path", extension.alias("extension"), F.when(open_, F.col("content")).alias("raw")).mapInPandas(run, "path string, text string")
+
+
+def export_timeline(log: DataFrame, path: str, metadata: dict[str, str]) -> None:
+    """One JSON document as lines of parts: a metadata object, a summary object, then an object an activity, in order of time."""
+    from casegrain.operators import timeline
+
+    spark = log.sparkSession
+    head = spark.createDataFrame([(0, json.dumps({"kind": "metadata"} | metadata))], "part int, value string") if metadata else None
+    summary = timeline.summary(log).select(F.lit(1).alias("part"), F.to_json(F.struct(F.lit("summary").alias("kind"), "*")).alias("value"))
+    rows = log.orderBy("ts", "id").select(F.lit(2).alias("part"), F.to_json(F.struct(F.lit("activity").alias("kind"), "id", "ts", "user", "action")).alias("value"))
+    for frame, mode in ((head, "overwrite"), (summary, "append"), (rows, "append")):
+        if frame is not None:
+            frame.select("part", "value").write.mode(mode).partitionBy("part").text(path)
+
+
+def html_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """value: a table row of HTML for each row, texts escaped; nulls are empty."""
+    escape = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    cells = [F.concat(F.lit("<td>"), escape(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</td>")) for c in columns]
+    return rows.select(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("value"))
+
+
+def csv_rows(rows: DataFrame, columns: list[str], separator: str = ",") -> DataFrame:
+    """value: a line for each row, fields quoted only where they must be."""
+    return rows.select(F.concat_ws(separator, *[F.coalesce(S.csv_field(F.col(c).cast("string")), F.lit("")) for c in columns]).alias("value"))
