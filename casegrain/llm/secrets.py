@@ -177,7 +177,7 @@ def _p_values(s: Column) -> Column:
     def serial(centred: Column) -> Column:
         spread = total(F.transform(centred, lambda x: x * x))
         lagged = total(F.zip_with(F.slice(centred, 1, F.size(centred) - 1), F.slice(centred, 2, F.size(centred) - 1), lambda x, y: x * y))
-        return F.when(spread > 0, lagged / spread * F.sqrt(n)).otherwise(F.lit(99.0))
+        return F.when(spread > 0, lagged / spread * F.sqrt(n)).when(spread == 0, F.lit(99.0))
 
     centred = _let(place, lambda p: _let(total(p) / n, lambda mean: F.transform(p, lambda x: x - mean)))
     letters = F.length(F.regexp_replace(low, "[^A-Za-z]", "")).cast("double")
