@@ -35,6 +35,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site
     order = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
     rows = docs.select(order.alias("id"), F.xxhash64(F.col(text).cast("string")).alias("tkey"), F.coalesce(F.col(site).cast("string"), F.lit("\u0000")).alias("site"), F.posexplode(whole).alias("at", "line"))
     rows = rows.withColumn("line", line).where("line <> ''").select("id", "tkey", "site", "at", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), F.col("line")).alias("g"))
+    rows = frames.checkpointed(rows)  # texts are cut into lines once; from here on only hashes move
     spread = rows.groupBy("h", "g").agg(F.hll_sketch_agg("site", F.lit(REGISTERS)).alias("sketch"), F.min("id").alias("first"))
     spread = spread.select("h", "g", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites * (1 - NEAR))
     spread = frames.checkpointed(spread)
