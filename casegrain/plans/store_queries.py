@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casegrain.functions import scalars as S
-from casegrain.operators import custody, discovery, duplicates, metrics, reconcile, timeline
+from casegrain.operators import custody, discovery, duplicates, maintenance, metrics, reconcile, timeline
 from casegrain.plans.registry import query
 
 
@@ -305,3 +305,28 @@ def container_kinds(t):
 @query("x08_x11_index_text", "SELECT doc_id, length(t) > 0 AND (octet_length(encode(t)) < 100000) AND length(regexp_replace(substr(t, 1, 1024), '[^\\x20-\\x7E\\s]', '', 'g')) > 0.85 * least(length(t), 1024) AS likely FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def index_text(t):
     return t("documents").select("doc_id", S.likely_text(F.coalesce("text", F.lit(""))).alias("likely"))
+
+
+@query("sk13_integrity", """
+SELECT 'null key' AS "check", 'orders' AS subject, count(*) AS n FROM orders WHERE o_orderkey IS NULL UNION ALL SELECT 'null key', 'lineitem', count(*) FROM lineitem WHERE l_orderkey IS NULL OR l_linenumber IS NULL
+UNION ALL SELECT 'repeated key', 'orders', count(*) - count(DISTINCT o_orderkey) FROM orders UNION ALL SELECT 'repeated key', 'lineitem', count(*) - count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem
+UNION ALL SELECT 'no parent', 'lineitem.l_orderkey', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)""")
+def integrity(t):
+    tables = {"orders": (t("orders"), ["o_orderkey"]), "lineitem": (t("lineitem"), ["l_orderkey", "l_linenumber"])}
+    return maintenance.integrity(tables, [("lineitem", "l_orderkey", "orders", "o_orderkey")])
+
+
+@query("j09_linked_evidence", """
+SELECT p_partkey AS i, p_partkey AS j, CASE p_partkey % 3 WHEN 0 THEN 'evidence_file_id' WHEN 1 THEN 'item_number' ELSE 'serial_number' END AS method,
+       CASE p_partkey % 3 WHEN 1 THEN 'medium' ELSE 'high' END AS confidence FROM part""")
+def linked_evidence(t):
+    k, n = F.col("p_partkey") % 3, F.col("p_partkey").cast("string")
+    items = t("part").select(F.col("p_partkey").alias("i"), F.when(k == 0, F.concat(F.lit("/e/"), n)).otherwise("").alias("file_id"), F.when(k == 1, F.concat(F.lit(" IT  "), n)).otherwise("").alias("item_number"), F.when(k == 2, F.concat(F.lit("s"), n)).otherwise("").alias("serial"), F.lit("").alias("description"))
+    files = t("part").select(F.col("p_partkey").alias("j"), F.concat(F.lit("/e/"), n).alias("path"), F.when(k == 1, F.concat(F.lit("it "), n)).alias("evidence_number"), F.when(k == 2, F.concat(F.lit("S"), n)).alias("serial"), F.lit("").alias("filename"))
+    return reconcile.link_evidence(items, files)
+
+
+@query("j11_customers_without_late_orders", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def customers_without_late_orders(t):
+    late = t("orders").where("o_orderstatus = 'P'")
+    return t("customer").join(late, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")

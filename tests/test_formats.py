@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casegrain.functions import digests
-from casegrain.operators import custody, discovery, grammar, index, metrics, reconcile, reports
+from casegrain.operators import custody, discovery, grammar, index, maintenance, metrics, reconcile, reports
 from casegrain.sources import formats, readers
 from casegrain.streaming import jobs
 
@@ -273,3 +273,17 @@ def test_first_non_empty(spark):
     with pytest.raises(ValueError):
         metrics.first_non_empty([lambda: spark.table("no_such_table")])
     assert metrics.first_non_empty([lambda: spark.table("no_such_table"), lambda: spark.range(0), lambda: spark.range(2)]).count() == 2
+
+
+def test_upkeep(spark, tmp_path):
+    for i in range(3):
+        spark.range(i, i + 2).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    maintenance.snapshot(spark, str(tmp_path / "t"), str(tmp_path / "s"))
+    assert maintenance.compact(spark, str(tmp_path / "t"), str(tmp_path / "c")) == 1
+    assert spark.read.parquet(str(tmp_path / "s")).count() == spark.read.parquet(str(tmp_path / "c")).count() == 6
+
+
+def test_magic_detail(spark):
+    rows = [("/a.docx", b"PK\x03\x04x"), ("/b.zip", b"PK\x03\x04x"), ("/c.txt", b"plain text"), ("/d", b"MZ\x00\x01"), ("/e", b"\x00\x01\x02"), ("/f.pdf", b"%PDF-1")]
+    got = {r.path: (r.kind, r.confidence) for r in readers.magic_detail(files(spark, rows)).collect()}
+    assert got == {"/a.docx": ("document", "medium"), "/b.zip": ("archive", "high"), "/c.txt": ("text", "low"), "/d": ("executable", "medium"), "/e": (None, None), "/f.pdf": ("document", "high")}
