@@ -196,5 +196,5 @@ def stream_upsert(t):
     rows = t("documents").where("source is not null").select("doc_id", "source", "n_chars")
     path, spark = _place(rows), rows.sparkSession
     rows.unionByName(rows).write.parquet(f"{path}/in")
-    jobs.upsert_by_container(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    jobs.upsert_by_container(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/checkpoint", key="doc_id").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{path}/out").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))

@@ -171,7 +171,7 @@ def fallback_chain(t):
     return metrics.first_non_empty([counts(missing, "no_such_column"), counts(lambda: t("part").where("p_size < 0"), "p_type"), counts(lambda: t("part"), "p_type")])
 
 
-_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations", "embeddings")
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
 
 
 @query("a06_all_counts", " UNION ALL ".join([f"SELECT '{x}' AS name, count(*) AS n FROM {x}" for x in _TABLES] + [

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,20 +26,31 @@ def half_hours(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", "30 minutes"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start_ts"), "event_type", "n")
 
 
-def upsert_by_container(stream: DataFrame, target: str, checkpoint: str, container: str = "source", key: str = "doc_id") -> StreamingQuery:
+def _by(rows: DataFrame, others: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A semi or anti join on keys, nulls included."""
+    named = others.select(*[F.col(k).alias(f"other_{i}") for i, k in enumerate(keys)]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"other_{i}")) for i, k in enumerate(keys)])
+    return rows.join(named, same, how)
+
+
+def upsert_by_container(stream: DataFrame, target: str, checkpoint: str, container: str = "source", key: str | None = None) -> StreamingQuery:
     """Rows replace those of their container and key in the target; a batch that runs again gives the same table.
 
+    Without a key equal rows replace each other.  Null keys and containers are equal.
+
     Only the containers of a batch are read and written anew: what stands there and is not replaced stays.  Of a batch's
     rows with one key the greatest row counts.  The merged rows are staged beside the checkpoint before the target changes.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.groupBy(container, key).agg(F.max(F.struct(*batch.columns)).alias("row")).select("row.*")
+        keys = [container, key] if key else batch.columns
+        new = batch.groupBy(*keys).agg(F.max(F.struct(*batch.columns)).alias("kept_row")).select("kept_row.*")
         path = spark._jvm.org.apache.hadoop.fs.Path(target)
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
             old = spark.read.schema(batch.schema).parquet(target)
-            old = old.join(new.select(container).distinct(), container, "left_semi").join(new.select(container, key), [container, key], "left_anti")
+            old = _by(old, new, [container], "left_semi")
+            old = _by(old, new, keys, "left_anti")
             new = old.unionByName(new)
         staged = f"{checkpoint.rstrip('/')}-staged/{number}"
         new.write.mode("overwrite").parquet(staged)

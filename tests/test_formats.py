@@ -156,7 +156,7 @@ def test_upsert_keeps_what_other_batches_wrote(spark, tmp_path):
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema("doc_id long, source string, text string").parquet(str(source))
-        jobs.upsert_by_container(stream, target, str(tmp_path / "c")).awaitTermination()
+        jobs.upsert_by_container(stream, target, str(tmp_path / "c"), key="doc_id").awaitTermination()
         assert i or spark.read.parquet(target).count() == 2
     assert sorted((r.doc_id, r.text) for r in spark.read.parquet(target).collect()) == [(1, "new"), (2, "y"), (3, "z"), (4, "w")]
 
