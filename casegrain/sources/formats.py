@@ -362,3 +362,112 @@ def _subkeys(raw: bytes, cell: Callable[[int], int], lists: int, n: int) -> list
     if kind == b"ri":
         return [k for i in range(count) for k in _subkeys(raw, cell, struct.unpack_from("<I", raw, p + 4 + 4 * i)[0], n)]
     return []
+
+
+SECTOR_ISO = 2048
+
+
+def iso_entries(raw: bytes) -> Iterator[dict]:
+    """entry, size and is_dir of an ISO 9660 image, folders before what they hold; names without version numbers."""
+    if raw[16 * SECTOR_ISO + 1 : 16 * SECTOR_ISO + 6] != b"CD001":
+        return
+    place = lambda record: struct.unpack_from("<I4xI", record, 2)
+    todo, seen = [("", *place(raw[16 * SECTOR_ISO + 156 : 16 * SECTOR_ISO + 190]))], set()
+    while todo:
+        above, start, size = todo.pop(0)
+        if start in seen:
+            continue
+        seen.add(start)
+        data, at = raw[start * SECTOR_ISO : start * SECTOR_ISO + size], 0
+        while at + 33 < len(data):
+            length = data[at]
+            if not length:  # records don't cross sectors
+                at = (at // SECTOR_ISO + 1) * SECTOR_ISO
+                continue
+            record = data[at : at + length]
+            at += length
+            name = record[33 : 33 + record[32]]
+            if name in (b"\x00", b"\x01"):
+                continue
+            path, is_dir = above + name.decode("latin-1").split(";")[0].rstrip("."), bool(record[25] & 2)
+            begin, n = place(record)
+            yield {"entry": path, "size": 0 if is_dir else n, "is_dir": is_dir}
+            if is_dir:
+                todo.append((path + "/", begin, n))
+
+
+def compound_streams(raw: bytes) -> dict[str, bytes]:
+    """Streams of a compound file (OLE) by path; a damaged chain ends where it breaks."""
+    if raw[:8] != b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
+        return {}
+    shift, mini_shift = struct.unpack_from("<HH", raw, 30)
+    size, mini = 1 << shift, 1 << mini_shift
+    n_fat, first, cutoff, first_mini, first_difat = (struct.unpack_from("<I", raw, at)[0] for at in (44, 48, 56, 60, 68))
+    sector = lambda i: raw[(i + 1) * size : (i + 2) * size]
+    end = 0xFFFFFFFA
+    table = list(struct.unpack_from("<109I", raw, 76))
+    while first_difat < end and len(table) < n_fat:
+        more = struct.unpack(f"<{size // 4}I", sector(first_difat))
+        table, first_difat = table + list(more[:-1]), more[-1]
+    fat = [x for i in table[:n_fat] if i < end for x in struct.unpack(f"<{len(sector(i)) // 4}I", sector(i)[: len(sector(i)) // 4 * 4])]
+
+    def chain(i: int, links: list[int]) -> list[int]:
+        out, seen = [], set()
+        while i < min(end, len(links)) and i not in seen:
+            seen.add(i)
+            out.append(i)
+            i = links[i]
+        return out
+
+    joined = lambda i: b"".join(sector(k) for k in chain(i, fat))
+    entries = joined(first)
+    rows = []
+    for at in range(0, len(entries) - 127, 128):
+        e = entries[at : at + 128]
+        used, = struct.unpack_from("<H", e, 64)
+        left, right, child = struct.unpack_from("<III", e, 68)
+        rows.append((e[: max(0, used - 2)].decode("utf-16-le", "replace"), e[66], left, right, child, *struct.unpack_from("<IQ", e, 116)))
+    if not rows:
+        return {}
+    small = joined(rows[0][5])
+    links = [x for i in chain(first_mini, fat) for x in struct.unpack(f"<{size // 4}I", sector(i).ljust(size, b"\xff"))]
+    out: dict[str, bytes] = {}
+    todo, seen = [(rows[0][4], "")], set()
+    while todo:
+        i, above = todo.pop()
+        if i >= len(rows) or i in seen:
+            continue
+        seen.add(i)
+        name, kind, left, right, child, start, length = rows[i]
+        todo += [(left, above), (right, above)]
+        if kind == 1:
+            todo.append((child, f"{above}{name}/"))
+        elif kind == 2:
+            data = b"".join(small[k * mini : (k + 1) * mini] for k in chain(start, links)) if length < cutoff else joined(start)
+            out[above + name] = data[:length]
+    return out
+
+
+# Property streams of an Outlook message.
+MSG_STREAMS = {"0037": "subject", "0C1A": "sender_name", "0C1F": "sender", "0E04": "recipients", "1000": "body", "007D": "headers"}
+
+
+def outlook_message(raw: bytes) -> dict | None:
+    """subject, sender, recipients, sent (of the headers), body and attachment names of an MSG file; null for other files."""
+    streams = compound_streams(raw)
+    found: dict[str, str] = {}
+    attachments: dict[str, str] = {}
+    for path, data in streams.items():
+        m = re.fullmatch(r"(?:(__attach_version1\.0_[^/]*)/)?__substg1\.0_([0-9A-F]{4})(001E|001F)", path)
+        if m is None:
+            continue
+        text = data.decode("utf-16-le" if m[3] == "001F" else "cp1252", "replace").rstrip("\x00")
+        if m[1]:
+            if m[2] == "3707" or (m[2] == "3704" and m[1] not in attachments):
+                attachments[m[1]] = text
+        elif m[2] in MSG_STREAMS:
+            found[MSG_STREAMS[m[2]]] = text
+    if not found:
+        return None
+    sent = re.search(r"(?im)^date:\s*(.+?)\s*$", found.get("headers", ""))
+    return {"subject": found.get("subject"), "sender": found.get("sender") or found.get("sender_name"), "recipients": found.get("recipients"), "sent": sent[1] if sent else None, "body": found.get("body", ""), "attachments": [attachments[k] for k in sorted(attachments)]}

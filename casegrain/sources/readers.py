@@ -128,6 +128,11 @@ def read_eml(spark: SparkSession, path: str) -> DataFrame:
     return _per_file(spark, path, lambda raw: [{"number": 0} | _message(raw)], _MAIL)
 
 
+def read_msg(spark: SparkSession, path: str) -> DataFrame:
+    """Outlook messages; files that are none give no row."""
+    return _per_file(spark, path, lambda raw: [{"number": 0} | found] if (found := formats.outlook_message(raw)) else [], _MAIL)
+
+
 def read_mbox(spark: SparkSession, path: str) -> DataFrame:
     """Messages of mbox files; one starts at each line that begins with "From "."""
 
@@ -139,10 +144,12 @@ def read_mbox(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of ZIP and TAR files (plain or compressed); other files give none."""
+    """Entries of ZIP, TAR (plain or compressed) and ISO 9660 files; other files give none."""
 
     def rows(raw: bytes) -> list[dict]:
         data = io.BytesIO(raw)
+        if found := list(formats.iso_entries(raw)):
+            return found
         if zipfile.is_zipfile(data):
             with zipfile.ZipFile(data) as z:
                 return [{"entry": i.filename.rstrip("/"), "size": i.file_size, "is_dir": i.is_dir()} for i in z.infolist()]

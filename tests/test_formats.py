@@ -287,3 +287,83 @@ def test_magic_detail(spark):
     rows = [("/a.docx", b"PK\x03\x04x"), ("/b.zip", b"PK\x03\x04x"), ("/c.txt", b"plain text"), ("/d", b"MZ\x00\x01"), ("/e", b"\x00\x01\x02"), ("/f.pdf", b"%PDF-1")]
     got = {r.path: (r.kind, r.confidence) for r in readers.magic_detail(files(spark, rows)).collect()}
     assert got == {"/a.docx": ("document", "medium"), "/b.zip": ("archive", "high"), "/c.txt": ("text", "low"), "/d": ("executable", "medium"), "/e": (None, None), "/f.pdf": ("document", "high")}
+
+
+def test_reports_as_files(spark):
+    rows = spark.createDataFrame([("a|b (c)", "<x>"), (None, "\u6f22")], "one string, two string")
+    words = formats.docx_text(reports.docx("T & U", {"k": "v"}, {"Rows": rows}))
+    assert words.startswith("T & U k: v Rows one two a|b (c) <x> ")
+    raw = reports.pdf("T", {"k": "v" * 300}, {"Rows": rows})
+    assert "(c)" in formats.pdf_text(raw) and "?" in formats.pdf_text(raw) and raw.startswith(b"%PDF-") and raw.endswith(b"%%EOF\n")
+    start = int(raw.split(b"startxref\n")[1].split()[0])
+    assert raw[start : start + 4] == b"xref" and raw[int(raw[start:].split(b"\n")[3].split()[0]) :].startswith(b"1 0 obj")
+
+
+def test_iso(spark, tmp_path):
+    image = bytearray(2048 * 22)
+
+    def record(name, start, size, folder=False):
+        n = 33 + len(name) + (len(name) + 1) % 2
+        out = bytearray(n)
+        out[0] = n
+        struct.pack_into("<I", out, 2, start)
+        struct.pack_into("<I", out, 10, size)
+        out[25], out[32] = 2 * folder, len(name)
+        out[33 : 33 + len(name)] = name
+        return bytes(out)
+
+    image[16 * 2048 + 1 : 16 * 2048 + 6] = b"CD001"
+    image[16 * 2048 + 156 : 16 * 2048 + 190] = record(b"\x00", 20, 2048, True)[:34]
+    top = record(b"\x00", 20, 2048, True) + record(b"\x01", 20, 2048, True) + record(b"SUB", 21, 2048, True) + record(b"A.TXT;1", 30, 77)
+    image[20 * 2048 : 20 * 2048 + len(top)] = top
+    low = record(b"\x00", 21, 2048, True) + record(b"B;1", 31, 5) + record(b"UP", 20, 2048, True)
+    image[21 * 2048 : 21 * 2048 + len(low)] = low
+    (tmp_path / "x.iso").write_bytes(bytes(image))
+    got = [(r.entry, r.size, r.is_dir) for r in readers.list_archive(spark, str(tmp_path / "x.iso")).collect()]
+    assert got == [("SUB", 0, True), ("A.TXT", 77, False), ("SUB/B", 5, False), ("SUB/UP", 0, True)]
+
+
+def test_msg(spark, tmp_path):
+    """A compound file with small streams in the mini stream and a long one in sectors of its own."""
+    utf = lambda t: t.encode("utf-16-le")
+    body = utf("long body " * 400)
+    small = [("__substg1.0_0037001F", utf("Hello")), ("__substg1.0_0C1F001E", b"a@b"), ("__substg1.0_007D001F", utf("To: c\r\nDate: Mon, 1 Jan 2024 10:00:00 +0000\r\n")), ("__substg1.0_3707001F", utf("file.txt"))]
+    stored, starts = b"", []
+    for _, data in small:
+        starts.append(len(stored) // 64)
+        stored += data.ljust(-(-len(data) // 64) * 64, b"\x00")
+    links = []
+    for _, data in small:
+        n = -(-len(data) // 64)
+        links += [len(links) + k + 1 for k in range(n - 1)] + [0xFFFFFFFE]
+
+    def entry(name, kind, left, right, child, start, size):
+        out = bytearray(128)
+        out[: 2 * len(name)] = utf(name)
+        struct.pack_into("<H", out, 64, 2 * len(name) + 2)
+        out[66] = kind
+        struct.pack_into("<III", out, 68, left, right, child)
+        struct.pack_into("<IQ", out, 116, start, size)
+        return bytes(out)
+
+    none = 0xFFFFFFFF
+    n_small, n_body = -(-len(stored) // 512), -(-len(body) // 512)
+    first_small, first_body = 5, 5 + n_small
+    folder = entry("Root Entry", 5, none, none, 1, first_small, len(stored))
+    folder += entry(small[0][0], 2, none, 2, none, starts[0], len(small[0][1])) + entry(small[1][0], 2, none, 3, none, starts[1], len(small[1][1]))
+    folder += entry(small[2][0], 2, none, 4, none, starts[2], len(small[2][1])) + entry("__substg1.0_1000001F", 2, none, 5, none, first_body, len(body))
+    folder += entry("__attach_version1.0_#00000000", 1, none, none, 6, 0, 0) + entry(small[3][0], 2, none, none, none, starts[3], len(small[3][1])) + bytes(128)
+    chains = [0xFFFFFFFD, 2, 0xFFFFFFFE, 0xFFFFFFFE, 0xFFFFFFFF]  # this table, two of entries, mini links, none
+    fat = chains + [first_small + k + 1 for k in range(n_small - 1)] + [0xFFFFFFFE] + [first_body + k + 1 for k in range(n_body - 1)] + [0xFFFFFFFE]
+    header = bytearray(512)
+    header[:8] = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
+    struct.pack_into("<HH", header, 30, 9, 6)
+    for at, value in ((44, 1), (48, 1), (56, 4096), (60, 3), (68, 0xFFFFFFFE)):
+        struct.pack_into("<I", header, at, value)
+    struct.pack_into("<109I", header, 76, 0, *[none] * 108)
+    pack = lambda values: struct.pack(f"<{len(values)}I", *values).ljust(512, b"\xff")
+    raw = bytes(header) + pack(fat) + folder + pack(links) + bytes(512) + stored.ljust(n_small * 512, b"\x00") + body.ljust(n_body * 512, b"\x00")
+    (tmp_path / "m.msg").write_bytes(raw)
+    (tmp_path / "n.msg").write_bytes(b"none")
+    r = readers.read_msg(spark, str(tmp_path)).collect()
+    assert [(x.subject, x.sender, x.sent, x.body, x.attachments) for x in r] == [("Hello", "a@b", "Mon, 1 Jan 2024 10:00:00 +0000", "long body " * 400, ["file.txt"])]
