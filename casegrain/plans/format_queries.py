@@ -198,3 +198,16 @@ def stream_upsert(t):
     rows.unionByName(rows).write.parquet(f"{path}/in")
     jobs.upsert_by_container(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/checkpoint", key="doc_id").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{path}/out").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
+
+
+@query("sc27_companion_summary", """
+SELECT '/l/' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.txt' ELSE '.sha256' END AS path, CASE WHEN p_partkey % 2 = 0 THEN 'C-' || p_partkey END AS case_number, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS examiner,
+       CASE WHEN p_partkey % 2 = 0 THEN 'Guymager' END AS tool, CASE WHEN p_partkey % 2 = 0 THEN 'MD5:' || md5(p_name) || ',SHA-1:' || sha1(p_name) ELSE 'SHA-256:' || sha256(p_name) END AS hashes FROM part""")
+def companion_summary(t):
+    k = F.col("p_partkey").cast("string")
+    log = F.array(F.lit("guymager 0.8 report"), F.concat(F.lit("Case Number: C-"), k), F.lit("Examiner: none"), F.concat(F.lit("Examiner name: "), "p_brand"), F.concat(F.lit("MD5 hash verified source: "), F.upper(F.md5("p_name"))), F.concat(F.lit("SHA1 hash of input: "), F.sha1("p_name")), F.lit("Notes:"))
+    one = F.array(F.concat(F.sha2("p_name", 256), F.lit("  image.dd")))
+    even = F.col("p_partkey") % 2 == 0
+    lines = t("part").select(F.concat(F.lit("/l/"), k, F.when(even, ".txt").otherwise(".sha256")).alias("path"), F.posexplode(F.when(even, log).otherwise(one)).alias("number", "value"))
+    found = readers.companion_summary(lines)
+    return found.select("path", "case_number", "examiner", "tool", F.array_join(F.transform("hashes", lambda h: F.concat(h["algorithm"], F.lit(":"), h["hash"])), ",").alias("hashes"))

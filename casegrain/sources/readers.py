@@ -187,6 +187,42 @@ def companion_lines(lines: DataFrame, *kept: str) -> DataFrame:
     return lines.select(*kept, F.when(both, key).alias("key"), F.when(both, text).alias("value"), found.alias("hash"), F.coalesce(named, S.guess_algorithm(found)).alias("algorithm"), F.lower(v).contains("verif").alias("verified"))
 
 
+# What acquisition logs call a case's facts.
+LOG_KEYS = {
+    "case_number": ("case number", "case", "case_number"),
+    "evidence_number": ("evidence number", "evidence", "evidence_number"),
+    "description": ("unique description", "description"),
+    "examiner": ("examiner", "examiner name"),
+    "notes": ("notes", "note", "comments"),
+    "started": ("acquisition started", "start time", "started"),
+    "finished": ("acquisition finished", "end time", "finished", "completed"),
+    "verification_started": ("verification started",),
+    "verification_finished": ("verification finished",),
+    "device": ("source", "source device", "input", "input device"),
+    "tool": ("tool", "program", "software", "created by"),
+}
+
+
+def companion_summary(lines: DataFrame) -> DataFrame:
+    """path, the facts of LOG_KEYS, and hashes of acquisition logs, from (path, number, value) lines.
+
+    The last line of a fact counts; a tool that no line names is told by what the lines mention (dc3dd, dcfldd, Guymager).
+    Hashes are (algorithm, hash) in lower case, distinct and sorted: a line's own algorithm, else that of the file's
+    extension, else that of the hash's length.
+    """
+    rows = companion_lines(lines, "path", "number", F.col("value").alias("line"))
+    low = F.lower("key")
+    last = lambda names: F.max(F.when(low.isin(*names), F.struct("number", "value")))["value"]
+    says = F.lower("line")
+    mentioned = F.max(F.when(says.contains("dc3dd"), "dc3dd").when(says.contains("dcfldd"), "dcfldd").when(says.contains("guymager"), "Guymager"))
+    named = S.algorithm_name(F.regexp_extract(F.col("line"), r"(?i)\b(MD5|SHA-?1|SHA-?256|SHA-?512)\b", 1))
+    algorithm = F.coalesce(named, S.algorithm_name(S.extension(F.col("path"))), S.guess_algorithm(F.col("hash")))
+    hashes = F.array_sort(F.collect_set(F.when(F.col("hash").isNotNull(), F.struct(algorithm.alias("algorithm"), F.lower("hash").alias("hash")))))
+    facts = {name: last(names) for name, names in LOG_KEYS.items()}
+    facts["tool"] = F.coalesce(facts["tool"], mentioned)
+    return rows.groupBy("path").agg(*[c.alias(name) for name, c in facts.items()], hashes.alias("hashes"))
+
+
 def companion_log(lines: DataFrame) -> DataFrame:
     """Hashes and key: value pairs of acquisition logs, from (value) lines."""
     v = F.col("value")
