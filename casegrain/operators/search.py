@@ -24,12 +24,13 @@ def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, doc_id: str, text: str, query: list[str]) -> DataFrame:
     """(doc_id, score) of documents with any query term.
 
-    Texts are split once: each document's length and its counts of the query's terms are written, and all else is read there.
+    Texts are split once: each document's length and its hits are written, and all else is read there.
     """
     terms = sorted(set(query))
+    wanted = F.array(*[F.lit(q) for q in terms])
     one = docs.select(F.explode(F.array(F.struct(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("ts")))).alias("d"))  # a generator keeps the split from being repeated
-    counts = F.array(*[F.size(_equal("d.ts", q)) for q in terms])
-    t = written(one.select("d.doc_id", F.size("d.ts").alias("dl"), counts.alias("tf")))
+    t = written(one.select("d.doc_id", F.size("d.ts").alias("dl"), F.filter("d.ts", lambda x: F.array_contains(wanted, x)).alias("hits")))
+    t = t.withColumn("tf", F.array(*[F.size(_equal("hits", q)) for q in terms]))
     sums = [F.sum(F.when(F.get("tf", F.lit(i)) > 0, 1).otherwise(0)).alias(f"df_{i}") for i in range(len(terms))]
     stats = t.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), *sums)
     rows = t.where(F.exists("tf", lambda n: n > 0)).crossJoin(F.broadcast(stats))  # one row
