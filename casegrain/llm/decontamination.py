@@ -233,7 +233,10 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _parted(items: DataFrame) -> Iterator[list[Index]]:
-    """The index in parts of about ITEMS_AT_ONCE items, PARTS_AT_ONCE of them at a time; items have part, i and t."""
+    """The index in parts of about ITEMS_AT_ONCE items, PARTS_AT_ONCE of them at a time; items have part, i and t.
+
+    Statistics of all parts are gathered on the executors.
+    """
     counts = frames.checkpointed(frames.map_batches(items.select("part", "t"), _term_counts, "part long, h long, c long"))
     n, total = counts.where("h is null").agg(F.count(F.lit(1)), F.sum("c")).first()
     known = counts.where("h is not null")
@@ -295,8 +298,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", out: str =
     schema = found.schema
     items = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").distinct()
     n = items.count()
-    if n:
-        items = items.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(max(1, round(n / ITEMS_AT_ONCE)))))
-        for indexes in _parted(frames.checkpointed(items)):
+    pieces = round(n / ITEMS_AT_ONCE)
+    if pieces > 1:
+        for indexes in _parted(frames.checkpointed(items.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(pieces))))):
             found = _search(found, indexes, own, out, schema)
+    elif n:  # one part, whose own statistics are those of all items
+        found = _search(found, [Index(sorted((r["i"], r["t"]) for r in items.collect()))], own, out, schema)
     return found.drop(own).withColumn(out, F.coalesce(out, F.array().cast(_LEAKS)))
