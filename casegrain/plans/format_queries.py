@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from casegrain.functions import scalars as S
 from casegrain.operators import discovery, index, shared
 from casegrain.plans.registry import query
-from casegrain.sources import readers
+from casegrain.sources import images, readers
 from casegrain.streaming import jobs
 
 
@@ -211,3 +211,19 @@ def companion_summary(t):
     lines = t("part").select(F.concat(F.lit("/l/"), k, F.when(even, ".txt").otherwise(".sha256")).alias("path"), F.posexplode(F.when(even, log).otherwise(one)).alias("number", "value"))
     found = readers.companion_summary(lines)
     return found.select("path", "case_number", "examiner", "tool", F.array_join(F.transform("hashes", lambda h: F.concat(h["algorithm"], F.lit(":"), h["hash"])), ",").alias("hashes"))
+
+
+@query("sk14_sc10_image_round_trip", """
+SELECT n_nationkey::VARCHAR AS image, 2::BIGINT AS segments, 33280::BIGINT AS size, 'one' AS case_number, md5(repeat(rpad(n_name, 512, '.'), 64) || rpad(n_regionkey || n_name, 512, '.')) AS stored, true AS verified FROM nation""")
+def image_round_trip(t):
+    nation = t("nation")
+    first = F.repeat(F.rpad("n_name", 512, "."), 64)
+    second = F.rpad(F.concat(F.col("n_regionkey").cast("string"), "n_name"), 512, ".")
+    both = F.array(F.struct(F.lit(1).alias("number"), first.alias("text")), F.struct(F.lit(2).alias("number"), second.alias("text")))
+    parts = nation.select(F.col("n_nationkey").alias("image"), F.explode(both).alias("p")).select("image", "p.number", F.encode("p.text", "utf-8").alias("content"))
+    path = _place(nation)
+    images.save_files(images.ewf_segments(parts, {"case_number": "one"}), path)
+    spark = nation.sparkSession
+    found = images.read_images(spark, path).select("image", "segments", "case_number")
+    checked = images.verify_images(spark, path).where("complete and unsound = 0")
+    return checked.join(found, "image").select(F.regexp_extract("image", "([^/]+)$", 1).alias("image"), "segments", "size", "case_number", "stored", "verified")

@@ -48,7 +48,7 @@ def crc32_names(t):
 @query("s03_more_digests")
 def more_digests(t):
     text = F.coalesce("text", F.lit("")).cast("binary")
-    return t("documents").select("doc_id", *[digests.digest(text, a).alias(a) for a in ("blake2b", "xxh64", "xxh3")])
+    return t("documents").select("doc_id", *[digests.digest(text, a).alias(a) for a in ("blake2b", "blake3", "xxh64", "xxh3")])
 
 
 @query("s08_combined_segments", "SELECT source AS \"set\", count(*) AS segments, sha256(string_agg(coalesce(text, ''), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1")
