@@ -12,6 +12,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from datetime import datetime
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrain.functions import digests
-from casegrain.sources import formats
+from casegrain.sources import formats, logical
 
 # Fixed values of the format: its signature, lengths of the file's and the sections' heads, of the volume and table heads.
 SIGNATURE = b"EVF\x09\x0d\x0a\xff\x00"
@@ -30,6 +31,10 @@ FIELDS = {"c": "case_number", "n": "evidence_number", "a": "description", "e": "
 SECTOR, CHUNK = 512, 32768
 #: Chunks that one table lists, chunks that a reader keeps, chunks in a batch of rows.
 TABLE_MOST, KEPT, BATCH = 16375, 64, 64
+#: A volume that speaks of larger chunks is damaged.
+LARGEST_CHUNK = 128 << 20
+#: Entries in a batch of rows.
+ROWS = 10000
 
 
 def local(path: str) -> str:
@@ -60,10 +65,13 @@ def sections(file: pa.NativeFile) -> Iterator[tuple[str, int, int, bool]]:
 
 
 def _fields(packed: bytes) -> dict[str, str]:
-    """The header's columns by name."""
-    raw = zlib.decompress(packed)
-    text = raw.decode("utf-16") if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else raw.decode("latin-1")
-    lines = text.replace("\r", "").split("\n")
+    """The header's columns by name; none of a damaged header."""
+    try:
+        raw = zlib.decompress(packed)
+    except zlib.error:
+        return {}
+    text = raw.decode("utf-16", "replace") if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else raw.decode("latin-1")
+    lines = text.replace("\r", "").split("\n") + [""] * 4
     names, values = lines[2].split("\t"), lines[3].split("\t")
     return {FIELDS[n]: v for n, v in zip(names, values, strict=False) if n in FIELDS}
 
@@ -89,7 +97,10 @@ class RawMedia:
 
 
 class EwfMedia:
-    """The medium of EWF segment files, whatever their order; files without the signature are left aside."""
+    """The medium of EWF segment files, whatever their order; files without the signature are left aside.
+
+    Without a volume section that can be true (chunks of 128 MB at most) the medium is empty and not complete.
+    """
 
     def __init__(self, paths: list[str]):
         found = []
@@ -114,17 +125,18 @@ class EwfMedia:
                 if kind in ("header", "header2") and not self.fields:
                     self.fields = _fields(file.read_at(size, at))
                 elif kind in ("volume", "disk") and not seen:
-                    seen = 1
-                    self.chunks, per_chunk, self.bytes_per_sector, self.sectors = struct.unpack_from("<IIIQ", file.read_at(24, at), 4)
-                    self.chunk_size = per_chunk * self.bytes_per_sector
+                    chunks, per_chunk, sector, sectors = struct.unpack_from("<IIIQ", file.read_at(24, at).ljust(24, b"\x00"), 4)
+                    if 0 < per_chunk * sector <= LARGEST_CHUNK and sectors <= chunks * per_chunk:
+                        seen, self.chunks, self.bytes_per_sector, self.sectors = 1, chunks, sector, sectors
+                        self.chunk_size = per_chunk * sector
                 elif kind == "sectors":
                     end = at + size
                 elif kind == "table":
-                    n, base = struct.unpack("<I4xQ", file.read_at(16, at))
+                    n, base = struct.unpack("<I4xQ", file.read_at(16, at).ljust(16, b"\x00"))
                     self.tables.append((known, file, at + TABLE_HEAD, n, base, end))
                     known += n
                 elif kind == "digest":
-                    md5, sha1 = struct.unpack("16s20s", file.read_at(36, at))
+                    md5, sha1 = struct.unpack("16s20s", file.read_at(36, at).ljust(36, b"\x00"))
                     self.md5, self.sha1 = md5.hex(), sha1.hex() if any(sha1) else None
                 elif kind == "hash" and self.md5 is None:
                     self.md5 = file.read_at(16, at).hex()
@@ -132,26 +144,31 @@ class EwfMedia:
                     self.complete = True
             self.of_segment.append(known)
         self.size = self.sectors * self.bytes_per_sector
-        self.complete &= self.segments == list(range(1, len(found) + 1)) and known == self.chunks
+        self.complete &= bool(seen) and self.segments == list(range(1, len(found) + 1)) and known == self.chunks
         self._first = [t[0] for t in self.tables]
         self._kept: dict[int, bytes] = {}
 
     def chunk(self, k: int) -> tuple[bytes, bool]:
         """A chunk's bytes, and whether its checksum is right; zeros where it can't be read."""
-        length = min(self.chunk_size, self.size - k * self.chunk_size)
+        length = max(0, min(self.chunk_size, self.size - k * self.chunk_size))
         first, file, at, n, base, end = self.tables[bisect_right(self._first, k) - 1]
         if not 0 <= k - first < n:
             return bytes(length), False
-        entries = struct.unpack("<2I" if k - first + 1 < n else "<I", file.read_at(8 if k - first + 1 < n else 4, at + 4 * (k - first)))
+        wanted = 2 if k - first + 1 < n else 1
+        raw = file.read_at(4 * wanted, at + 4 * (k - first))
+        if len(raw) < 4 * wanted:
+            return bytes(length), False
+        entries = struct.unpack(f"<{wanted}I", raw)
         start = base + (entries[0] & 0x7FFFFFFF)
         stop = base + (entries[1] & 0x7FFFFFFF) if len(entries) > 1 else end
-        data = file.read_at(max(0, stop - start), start)
+        data = file.read_at(min(max(0, stop - start), 2 * self.chunk_size), start) if start < file.size() else b""
         if entries[0] >> 31:
+            packed = zlib.decompressobj()
             try:
-                raw = zlib.decompressobj().decompress(data, self.chunk_size)
+                raw = packed.decompress(data, self.chunk_size + 1)  # one more, so that the checksum is met
             except zlib.error:
                 return bytes(length), False
-            return (raw, True) if len(raw) == length else (raw[:length].ljust(length, b"\x00"), False)
+            return raw[:length].ljust(length, b"\x00"), packed.eof and len(raw) == length
         raw, check = data[:length], data[length : length + 4]
         return raw.ljust(length, b"\x00"), len(check) == 4 and zlib.adler32(raw) == struct.unpack("<I", check)[0]
 
@@ -260,31 +277,50 @@ def volume_files(media) -> Iterator[dict]:
         yield own | none
 
 
+# Extensions (lower case) of the files of a kind of container, and of its first file where they need one.
+KINDS = (
+    ("ad1", "^ad[0-9]+$", "ad1"),
+    ("l01", "^l[0-9]{2}$", "l01"),
+    ("raw", "^([0-9]{3}|dd|raw|img|bin)$", None),
+    ("ewf", "^(e[0-9]{2}|[e-z][a-z]{2})$", "e01"),
+)
+
+
 def image_sets(spark: SparkSession, path: str) -> DataFrame:
-    """image (path without extension), kind (ewf, raw) and paths of the images among files, from their names.
+    """image (path without extension), kind (ad1, l01, ewf, raw) and paths of the containers among files, from their names.
 
-    A set with an .e01 file is EWF, with all its .e02 to .zzz; .001 to .999, or one .dd, .raw, .img or .bin, is raw.  The
-    files themselves are not read.
+    The sets of AD1, L01 and EWF are those with a first file (.ad1, .l01, .e01); .001 to .999, or one .dd, .raw, .img or
+    .bin, is raw.  The files themselves are not read.
     """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    kind = F.when(extension.rlike("^([0-9]{3}|dd|raw|img|bin)$"), "raw").when(extension.rlike("^[e-z]([0-9]{2}|[a-z]{2})$"), "ewf")
-    sets = listing.select(F.regexp_replace("path", r"\.[^./]+$", "").alias("image"), kind.alias("kind"), "path", extension.alias("e"), F.when(extension.rlike("^[0-9]"), "numbered").otherwise(F.when(kind == "raw", extension)).alias("family"))
-    sets = sets.where("kind is not null").groupBy("image", "kind", "family").agg(F.array_sort(F.collect_list("path")).alias("paths"), F.max(F.col("e") == "e01").alias("first"))
-    return sets.where("kind = 'raw' or first").select("image", "kind", "paths")
+    kind, first = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, pattern, start in reversed(KINDS):
+        kind, first = F.when(extension.rlike(pattern), name).otherwise(kind), F.when(extension.rlike(pattern), F.lit(start)).otherwise(first)
+    sets = listing.select(F.regexp_replace("path", r"\.[^./]+$", "").alias("image"), kind.alias("kind"), "path", extension.alias("e"), first.alias("first")).where("kind is not null")
+    family = F.when((F.col("kind") == "raw") & ~F.col("e").rlike("^[0-9]"), F.col("e"))  # a.dd and a.img are two images
+    sets = sets.groupBy("image", "kind", family.alias("family")).agg(F.array_sort(F.collect_list("path")).alias("paths"), F.max(F.col("first").isNull() | (F.col("e") == F.col("first"))).alias("whole"))
+    return sets.where("whole").select("image", "kind", "paths")
 
 
-def _media(kind: str, paths: list[str]):
-    return EwfMedia(list(paths)) if kind == "ewf" else RawMedia(list(paths))
+def _entries(kind: str, paths: list[str]) -> Iterator[dict]:
+    if kind == "ad1":
+        return logical.ad1_entries([_open(p) for p in paths])
+    if kind == "l01":
+        return logical.l01_entries([_open(p) for p in paths], sections)
+    return volume_files(EwfMedia(paths) if kind == "ewf" else RawMedia(paths))
 
 
-def _per_image(sets: DataFrame, rows_of: Callable, schema: str) -> DataFrame:
+def _per_image(sets: DataFrame, rows_of: Callable[[str, list[str]], Iterator[dict]], schema: str) -> DataFrame:
+    """Rows of each set's image, ROWS at a time."""
     columns = [f.split()[0] for f in schema.replace(", ", ",").split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                yield pd.DataFrame([{"image": r.image} | row for row in rows_of(_media(r.kind, r.paths))], columns=columns)
+                rows = rows_of(r.kind, list(r.paths))
+                while some := list(islice(rows, ROWS)):
+                    yield pd.DataFrame([{"image": r.image, "kind": r.kind} | row for row in some], columns=columns, dtype="object")
 
     return sets.mapInPandas(run, schema)
 
@@ -292,17 +328,19 @@ def _per_image(sets: DataFrame, rows_of: Callable, schema: str) -> DataFrame:
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """A row an EWF image: segments, media size, case fields, stored hashes; complete where no segment or chunk is missing."""
 
-    def rows(m: EwfMedia) -> list[dict]:
+    def rows(_: str, paths: list[str]) -> Iterator[dict]:
+        m = EwfMedia(paths)
         given = {k: m.fields.get(k) for k in ("case_number", "evidence_number", "examiner", "description", "notes")}
-        return [{"segments": len(m.segments), "size": m.size, "chunks": m.chunks, "complete": m.complete, "sound_heads": m.sound, "md5": m.md5, "sha1": m.sha1} | given]
+        yield {"segments": len(m.segments), "size": m.size, "chunks": m.chunks, "complete": m.complete, "sound_heads": m.sound, "md5": m.md5, "sha1": m.sha1} | given
 
     schema = "image string, segments long, size long, chunks long, complete boolean, sound_heads boolean, md5 string, sha1 string, case_number string, evidence_number string, examiner string, description string, notes string"
     return _per_image(image_sets(spark, path).where("kind = 'ewf'"), rows, schema)
 
 
 def list_images(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of the FAT volumes of EWF and raw images, an image a task at most; see volume_files."""
-    return _per_image(image_sets(spark, path), lambda m: list(volume_files(m)), "image string, partition long, filesystem string, entry string, size long, is_dir boolean, modified timestamp_ntz")
+    """Entries of AD1 and L01 containers and of the FAT volumes of EWF and raw images (see volume_files), an image a task at most."""
+    schema = "image string, kind string, partition long, filesystem string, entry string, size long, is_dir boolean, modified timestamp_ntz, md5 string"
+    return _per_image(image_sets(spark, path), _entries, schema)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import struct
+import zlib
 from datetime import datetime
 
 import pytest
@@ -127,7 +128,86 @@ def test_ewf(spark, tmp_path):
     assert not next(r.complete for r in images.read_images(spark, str(tmp_path)).collect() if r.image.endswith("/a"))
 
 
+def test_damaged_ewf(tmp_path):
+    """Whatever byte is wrong or missing, an image is read to its end, and what differs is told."""
+    medium = b"".join(hashlib.sha256(bytes([i])).digest() for i in range(256)) + bytes(images.CHUNK)
+    raw = images.segment_file(1, medium, 2, len(medium), True, hashlib.md5(medium).hexdigest(), hashlib.sha1(medium).hexdigest(), {"notes": "n"})
+    path = tmp_path / "x.E01"
+    for at in [*range(0, len(raw), 97), *range(13, 13 + 90)]:
+        for made in (raw[:at], raw[:at] + bytes([raw[at] ^ 0xFF]) + raw[at + 1 :]):
+            path.write_bytes(made)
+            m = images.EwfMedia([str(path)])
+            chunks = [m.chunk(k) for k in range(min(m.chunks, m.of_segment[-1]))]
+            assert len(m.read(0, 100)) <= 100
+            if len(made) < len(raw) and at > 20:
+                assert not m.complete
+            assert b"".join(c for c, _ in chunks) == medium or not all(ok for _, ok in chunks) or not m.complete or m.size != len(medium) or not m.sound
+            list(images.volume_files(m))
+
+
 def test_ewf_names():
     assert [images.extension_of(n) for n in (1, 99, 100, 101, 775, 776)] == ["E01", "E99", "EAA", "EAB", "EZZ", "FAA"]
     with pytest.raises(ValueError):
         images.segment_file(1, b"x", 1, 1, True, "", "", {})
+
+
+def ad1_image(step: int = 65536) -> list[bytes]:
+    """/disk (folder) with a.txt and two folders below, the second over the segments' border; an item links back to the first."""
+    space = bytearray(step - 512 + 4000)
+    space[:16] = b"ADLOGICALIMAGE\x00\x00"
+    struct.pack_into("<Q", space, 0x224 - 512, 1000)
+
+    def item(at, name, follows=0, child=0, detail=0, size=0, kind=0x31):
+        struct.pack_into("<QQQQQII", space, at, follows, child, detail, 0, size, kind, len(name.encode()))
+        space[at + 48 : at + 48 + len(name.encode())] = name.encode()
+
+    def detail(at, follows, category, key, value):
+        struct.pack_into("<QIII", space, at, follows, category, key, len(value))
+        space[at + 20 : at + 20 + len(value)] = value
+
+    edge = step - 512 - 30  # an item over the border
+    item(1000, "disk", child=2000, follows=5000, kind=5)
+    item(2000, "a.txt", follows=3000, detail=2500, size=70)
+    detail(2500, 2600, 5, 8, b"20240229T103008.500000")
+    detail(2600, 2500, 1, 0x5001, b"0123456789abcdef0123456789abcdef")  # the chain meets itself
+    item(3000, "sub", follows=edge, child=4000, kind=5)
+    item(4000, "deep \u00e9", size=5)
+    item(edge, "far", child=edge + 200, kind=5)
+    item(edge + 200, "b", follows=1 << 40, size=6)  # goes on nowhere
+    item(5000, "second", follows=1000, size=1)  # goes back to the first
+    out = []
+    for k, at in enumerate(range(0, len(space), step - 512)):
+        head = bytearray(512)
+        head[:16] = b"ADSEGMENTEDFILE\x00"
+        struct.pack_into("<II", head, 0x18, k + 1, 2)
+        struct.pack_into("<I", head, 0x22, step // 65536)
+        out.append(bytes(head) + bytes(space[at : at + step - 512]))
+    return out
+
+
+def test_logical(spark, tmp_path):
+    for k, raw in enumerate(ad1_image()):
+        (tmp_path / f"case.ad{k + 1}").write_bytes(raw)
+    (tmp_path / "none.ad1").write_bytes(b"ADCRYPT\x00")
+    (tmp_path / "lost.ad2").write_bytes(b"x")  # no first segment
+    tree = "rec\r\n\tcl\t1\r\nentry\r\n\tp\t1\tn\tDocs\tid\t1\tcid\t1\r\n\t\tn\ta.txt\tid\t2\tls\t512\tbe\t0 512\tcid\t0\twr\t1709202608\tha\tabc\r\n\t\tp\t1\tn\tSub\tcid\t1\r\n\t\t\tn\tdeep\tls\tx\r\n\tn\tlast\tls\t7\r\n\tbad\r\nsub\r\n\tn\tno file\r\n".encode("utf-16-le")
+    for name, body in (("packed", zlib.compress(tree)), ("plain", tree)):
+        data = bytes(48) + body
+        head = struct.pack("<16sQQ40x", b"ltree", 13 + 76 + len(data), 76 + len(data))
+        end = struct.pack("<16sQQ40x", b"done", 13 + 76 + len(data), 76)
+        raw = b"LVF\x09\x0d\x0a\xff\x00\x01\x01\x00\x00\x00" + b"".join(h + struct.pack("<I", zlib.adler32(h)) + d for h, d in ((head, data), (end, b"")))
+        (tmp_path / f"{name}.L01").write_bytes(raw)
+    by = {}
+    for r in images.list_images(spark, str(tmp_path)).collect():
+        by.setdefault((r.kind, r.image.rsplit("/", 1)[1]), []).append((r.entry, r.size, r.is_dir, r.modified, r.md5))
+    assert by.pop(("ad1", "case")) == [
+        ("/disk", 0, True, None, None),
+        ("/disk/a.txt", 70, False, datetime(2024, 2, 29, 10, 30, 8, 500000), "0123456789abcdef0123456789abcdef"),
+        ("/disk/sub", 0, True, None, None),
+        ("/disk/sub/deep \u00e9", 5, False, None, None),
+        ("/disk/far", 0, True, None, None),
+        ("/disk/far/b", 6, False, None, None),
+        ("/second", 1, False, None, None),
+    ]
+    l01 = [("/Docs", 0, True, None, None), ("/Docs/a.txt", 512, False, datetime(2024, 2, 29, 10, 30, 8), "abc"), ("/Docs/Sub", 0, True, None, None), ("/Docs/Sub/deep", 0, False, None, None), ("/last", 7, False, None, None)]
+    assert by == {("l01", "packed"): l01, ("l01", "plain"): l01}
