@@ -52,13 +52,14 @@ def _open(path: str) -> pa.NativeFile:
 
 
 def sections(file: pa.NativeFile) -> Iterator[tuple[str, int, int, bool]]:
-    """(type, place of the data, its size, the head's checksum is right) of a segment file, in order."""
+    """(type, place of the data, its size within the file, the head's checksum is right) of a segment file, in order."""
     at, size = FILE_HEAD, file.size()
     while at + SECTION_HEAD <= size:
         head = file.read_at(SECTION_HEAD, at)
         kind = head[:16].rstrip(b"\x00").decode("ascii", "replace")
         follows, length = struct.unpack_from("<QQ", head, 16)
-        yield kind, at + SECTION_HEAD, max(0, (length or follows - at) - SECTION_HEAD), zlib.adler32(head[:72]) == struct.unpack_from("<I", head, 72)[0]
+        most = size - at - SECTION_HEAD
+        yield kind, at + SECTION_HEAD, max(0, min(most, (length or follows - at) - SECTION_HEAD)), zlib.adler32(head[:72]) == struct.unpack_from("<I", head, 72)[0]
         if kind in ("done", "next") or follows <= at:
             return
         at = follows
