@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrain.functions import scalars as S
-from casegrain.sources import formats
+from casegrain.sources import formats, xls
 
 # First bytes of some file types.
 MAGIC = (("25504446", "application/pdf", "document"), ("504B0304", "application/zip", "archive"), ("1F8B", "application/gzip", "archive"), ("377ABCAF271C", "application/x-7z-compressed", "archive"), ("526172211A07", "application/vnd.rar", "archive"), ("89504E470D0A1A0A", "image/png", "image"), ("FFD8FF", "image/jpeg", "image"), ("47494638", "image/gif", "image"), ("53514C69746520666F726D6174203300", "application/vnd.sqlite3", "database"), ("7F454C46", "application/x-elf", "executable"), ("4D5A", "application/x-dosexec", "executable"), ("455646090D0AFF00", "application/x-ewf", "forensic"), ("4144534547", "application/x-ad1", "forensic"))
@@ -257,9 +257,11 @@ def sqlite_columns(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """Cells of XLSX and ODS workbooks; `select distinct sheet` lists the sheets, a where on row and column reads a range."""
+    """Cells of XLSX, XLS and ODS workbooks; `select distinct sheet` lists the sheets, a where on row and column reads a range."""
 
     def rows(raw: bytes) -> list[dict]:
+        if raw[:4] == b"\xd0\xcf\x11\xe0":
+            return list(xls.xls_cells(raw, sheet))
         found = formats.ods_cells(raw) if b"opendocument.spreadsheet" in raw[:200] else formats.xlsx_cells(raw, sheet)
         return [c for c in found if sheet in (None, c["sheet"])]
 
