@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from casegrain.llm import decontamination, fingerprint, html_extraction, line_dedup, mixing, ngram_join, quality, secrets, substring_dedup, toxicity
+from casegrain.llm import decontamination, fingerprint, frames, html_extraction, line_dedup, mixing, ngram_join, quality, secrets, substring_dedup, toxicity
 
 DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -108,6 +108,18 @@ def test_ngram_join(spark, monkeypatch, block, shingles):
     assert got == linked(texts)
 
 
+def test_common_words_make_no_candidates(spark, monkeypatch):
+    """Unrelated texts that share shingles of common words, more than the list of frequent shingles holds, don't meet."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", 16)
+    r, met = random.Random(3), []
+    texts = [(i, " ".join(r.choice("abcd") if r.random() < 0.7 else f"{r.randrange(10**6)}" for _ in range(80))) for i in range(400)]
+    texts += [(1000 + i, f"{t} end") for i, t in texts[:5]]
+    of = frames.components
+    monkeypatch.setattr(frames, "components", lambda edges: met.append(edges.distinct().count()) or of(edges))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_join(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == linked(texts) and met[0] == 5
+
+
 def test_shares_keep_size_and_overlap():
     blob = np.sort(np.array([5, 7, 7, 7, 9], "<u4"))
     other = np.sort(np.array([7, 7, 9, 11], "<u4"))
